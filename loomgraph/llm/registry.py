@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, langid, mixing, secrets
+from loomgraph.llm import decontaminate, langid, mixing, pii, quality, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_quality_rules": quality.op2_quality_rules,
     "op4_language_id": langid.op4_language_id,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op10_pii": pii.op10_pii,
 }
 SQL = {
     "op6_mix_sources": mixing.OP6_SQL,
