@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, langid, linededup, mixing, neardup, pii, quality, secrets
+from loomgraph.llm import decontaminate, langid, linededup, mixing, neardup, pii, quality, recompress, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": langid.op4_language_id,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_substring_dedup": recompress.op8_substring_dedup,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_pii": pii.op10_pii,
 }
@@ -19,4 +20,5 @@ SQL = {
     "op6_mix_sources": mixing.OP6_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op9_line_dedup": linededup.OP9_SQL,
+    "op8_substring_dedup": recompress.OP8_SQL,
 }
