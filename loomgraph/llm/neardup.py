@@ -4,11 +4,13 @@ A text's set holds its distinct word shingles as 64-bit hashes. Each of `PERMUTA
 shingle and gives two signature entries, its minimum and its maximum over the set; both are unbiased, and together vary
 less than two minima. The signature is cut into bands of `ROWS` entries.
 
-Texts with equal sets are one class. Class representatives that share a band are candidates: in each bucket the smallest
-id is the centre, every other member of another component is compared with it on the full sets, links join components,
-and the bucket's next round leaves the used centre out. After `STARS` rounds the pairs that are still in different
-components of one bucket are compared as they are. So a large group of copies costs a comparison a member, not one a
-pair, and no bucket is capped. With 24 bands of 4 a pair at the limit of 0.8 is missed with a chance of 3e-6.
+Texts with equal sets are one class. Class representatives that share a band are candidates. The bands are taken in
+`GROUPS`, so that later bands find most links made: in each bucket that still holds several components the smallest id is
+the centre, every member of another component is compared with it on the full sets, links join components, and the
+bucket's next round leaves the used centre out. After `STARS` rounds the pairs that are still in different components
+of one bucket are compared as they are. Before any comparison an exact bound rules pairs out: a parity sketch of 1024
+bits differs in no more bits than the sets differ in shingles. So a large group of copies costs a comparison a member,
+not one a pair, and no bucket is capped. With 24 bands of 4 a pair at the limit of 0.8 is missed with a chance of 3e-6.
 
 Defined cases: null or wordless texts have an empty set and stay alone; a text with fewer words than a shingle is one
 shingle; equal rows with one id form one row each; ids must not be null to be linked (null ids stay alone).
@@ -21,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import cut, encode, read, text_rows
 
-PERMUTATIONS, ROWS, STARS = 48, 4, 4
+PERMUTATIONS, ROWS, STARS, SKETCH = 48, 4, 2, 16
+GROUPS = ((0, 6), (6, 14), (14, 24))
 _RANDOM = np.random.default_rng(20240229).integers(1, 1 << 63, (2, PERMUTATIONS), dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -85,23 +88,29 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """SKETCH longs; each bit tells whether an odd number of shingles falls on it."""
+    return np.packbits((np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def sign(rows: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, d1 and d2 (digest of the set), bands; rows has doc_id and text."""
+    """doc_id, n, d1 and d2 (digest of the set), bands, sketch; rows has doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, d, bs = [], [], []
+            n, d, bs, sk = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text, k)
                 n.append(len(s))
                 d.append(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64))
+                sk.append(parity(s))
                 bs.append(bands(signature(s)) if len(s) else np.zeros(0, np.int64))
             d = np.array(d, np.int64).reshape(-1, 2)
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in bs]))).astype(np.int32)
             flat = np.concatenate(bs) if bs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([x.tolist() for x in sk], pa.list_(pa.int64()))], names=["doc_id", "n", "d1", "d2", "bands", "sketch"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, d1 long, d2 long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, d1 long, d2 long, bands array<long>, sketch array<long>")
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
@@ -135,20 +144,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and label (the smallest node reachable), for the nodes of links (a, b); labels spread and jump until nothing changes."""
+    """node and label (the smallest node reachable), for the nodes of links (a, b): large stars and small stars until nothing changes."""
+    state = lambda x: tuple(x.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).head())
     links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = state(links)
     while True:
-        # Each node hooks to the smallest of its neighbours (large star), then to the smallest of those that it hooked to (small star).
+        # Each node tells its larger neighbours of its smallest one; then those that a node hooked to are hooked to the least of them.
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low.withColumnRenamed("a", "of"), F.col("a") == F.col("of")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least.withColumnRenamed("a", "of"), F.col("a") == F.col("of")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        new = cut(small)
-        changed = new.exceptAll(links).limit(1).count() or links.exceptAll(new).limit(1).count()
-        links = new
-        if not changed:
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m"))
+        large = both.join(low, F.col("a") == F.col("of")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "of")
+        small = large.join(least, F.col("a") == F.col("of")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        links = cut(small)
+        after = state(links)
+        if after == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        before = after
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -158,35 +169,43 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     classes = signed.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     member = cut(signed.drop("bands").join(classes.withColumnsRenamed({"d1": "e1", "d2": "e2"}), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left").select("doc_id", "n", "rep"))
     reps = member.where("doc_id = rep").select(F.col("rep").alias("of")).distinct()
-    spread = signed.where("n > 0").join(reps, F.col("doc_id") == F.col("of"), "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", F.explode("bands").alias("band"))
+    sketch = [f"k{i}" for i in range(SKETCH)]
+    spread = signed.where("n > 0").join(reps, F.col("doc_id") == F.col("of"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", *(F.get("sketch", i).alias(k) for i, k in enumerate(sketch)), F.posexplode("bands").alias("no", "band"))
     full = spread.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select(F.col("band").alias("of"))
-    buckets = cut(spread.join(full, F.col("band") == F.col("of"), "left_semi").select("band", F.col("doc_id").alias("id"), "n"))
-    few = buckets.select("id").distinct()
-    sets = cut(_sets(rows.join(few, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), k))
-    labels, links = None, None
-    active = buckets.withColumn("label", F.col("id"))
-    for turn in range(STARS + 1):
-        ends = active.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("id", "n", "label")).alias("c")).where("lo <> hi").select(F.col("band").alias("of"), "c")
-        joined = active.join(ends, F.col("band") == F.col("of"))
-        alike = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-        if turn < STARS:
-            pairs = joined.where((F.col("label") != F.col("c.label")) & alike(F.col("n"), F.col("c.n"))).select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
-            active = cut(joined.where("id <> c.id").select("band", "id", "n", "label"))
-        else:
-            x = joined.select("band", "id", "n", "label")
-            y = x.toDF("band2", "b", "n2", "label2")
-            pairs = x.join(y, (F.col("band") == F.col("band2")) & (F.col("id") < F.col("b")) & (F.col("label") != F.col("label2")) & alike(F.col("n"), F.col("n2"))).select(F.col("id").alias("a"), "b").distinct()
-        found = cut(_confirmed(pairs, sets, percent))
-        links = found if links is None else links.unionByName(found)
-        if found.limit(1).count():
-            labels = components(links)
-        if turn < STARS:
-            if labels is not None:
-                active = active.drop("label").join(labels, F.col("id") == F.col("node"), "left").select("band", "id", "n", F.coalesce("label", "id").alias("label"))
-            if not active.limit(1).count():
+    buckets = cut(spread.join(full, F.col("band") == F.col("of"), "left_semi"))
+    few = buckets.select(F.col("id").alias("of")).distinct()
+    sets = cut(_sets(rows.join(few, F.col("doc_id") == F.col("of"), "left_semi").dropDuplicates(["doc_id"]), k))
+
+    def near(prefix: str) -> Column:
+        """Whether lengths and sketches allow the similarity with the member under the prefix."""
+        n, m = F.col("n"), F.col(f"{prefix}n")
+        differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(prefix + c))) for c in sketch), F.lit(0))
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+
+    labels = None
+    for first, last in GROUPS:
+        active = buckets.where(f"no >= {first} and no < {last}").drop("no")
+        for turn in range(STARS + 1):
+            if labels is None:
+                active = active.withColumn("label", F.col("id"))
+            else:
+                active = active.drop("label").join(labels, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node")
+            ends = active.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("id", "n", *sketch, "label")).alias("c")).where("lo <> hi").select(F.col("band").alias("of"), *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("id", "n", *sketch, "label")))
+            active = cut(active.join(ends, F.col("band") == F.col("of")).drop("of"))
+            if turn < STARS:
+                pairs = active.where((F.col("label") != F.col("c_label")) & near("c_")).select(F.col("c_id").alias("a"), F.col("id").alias("b"))
+            else:
+                x = active.select("band", "id", "n", "label", *sketch)
+                y = x.toDF(*(f"y_{c}" for c in x.columns))
+                pairs = x.join(y, (F.col("band") == F.col("y_band")) & (F.col("id") < F.col("y_id")) & (F.col("label") != F.col("y_label")) & near("y_")).select(F.col("id").alias("a"), F.col("y_id").alias("b"))
+            found = cut(_confirmed(pairs.distinct(), sets, percent))
+            if found.limit(1).count():
+                labels = components(found if labels is None else found.unionByName(labels.toDF("a", "b")))
+            active = active.where("id <> c_id").select("band", "id", "n", *sketch)
+            if turn < STARS and not active.limit(1).count():
                 break
     if labels is None:
-        labels = links.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
+        labels = found.toDF("node", "label")
     out = member.join(labels, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("label", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
