@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.anchors import by_document, merged, mixed, pieces, runs, sliding_least, unpacked
-from loomgraph.llm.common import encode, read, text_rows
+from loomgraph.llm.common import cut, encode, read, text_rows
 from loomgraph.llm.neardup import word_hashes
 
 WINDOW, ROUNDS = 13, 2
@@ -103,36 +103,36 @@ def _shared(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _around(rows: DataFrame, window: int) -> DataFrame:
-    """name, doc, at (first window, in words), off (from the anchor), hashes of the windows of shared anchors. rows: doc, text, names."""
+    """name, doc, at (first window, in words), hashes of the windows of shared anchors. rows: doc, text, names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for doc, text, shared in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 h = word_hashes(encode(text).split())
                 shared = np.sort(shared.values.to_numpy(zero_copy_only=False).view(np.uint64))
                 for i, j in pieces(len(h), window):
-                    name, place, first, last = anchors(h[i:j], window)
+                    name, _, first, last = anchors(h[i:j], window)
                     keep = shared[np.minimum(np.searchsorted(shared, name), len(shared) - 1)] == name
-                    name, place, first, size = name[keep], place[keep], first[keep], (last - first + 1)[keep]
+                    name, first, size = name[keep], first[keep], (last - first + 1)[keep]
                     starts = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-                    for k, x in enumerate((name.view(np.int64), np.full(len(name), doc, np.int64), first + i, first - place, size, _windows(h[i:j], starts, window).view(np.int64))):
+                    for k, x in enumerate((name.view(np.int64), np.full(len(name), doc, np.int64), first + i, size, _windows(h[i:j], starts, window).view(np.int64))):
                         out[k].append(x)
-            name, docs, at, off, size, hashes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+            name, docs, at, size, hashes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
             ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(docs), pa.array(at.astype(np.int32)), pa.array(off.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes))], names=["name", "doc", "at", "off", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(docs), pa.array(at.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes))], names=["name", "doc", "at", "hashes"])
 
-    return rows.mapInArrow(run, "name long, doc long, at int, off int, hashes array<long>")
+    return rows.mapInArrow(run, "name long, doc long, at int, hashes array<long>")
 
 
 def _repeated(around: DataFrame, window: int) -> DataFrame:
     """doc, span: words covered by windows that a smaller document has; rows come ordered by name and doc."""
 
-    def judged(name, doc, at, off, size, hashes, carry):
+    def judged(name, doc, at, size, hashes, carry):
         """Spans of repeated windows, and the first documents of the last name's windows."""
         row = np.repeat(np.arange(len(name)), size)
         step = np.arange(len(hashes)) - np.repeat(np.cumsum(size) - size, size)
-        code = mixed(hashes.view(np.uint64) + mixed(name.view(np.uint64)[row] + (off[row] + step).astype(np.uint64)))
+        code = mixed(hashes.view(np.uint64) + mixed(name.view(np.uint64))[row])
         all_code, all_doc = np.concatenate((carry[0], code)), np.concatenate((carry[1], doc[row]))
         order = np.argsort(all_code, kind="stable")
         s = all_code[order]
@@ -159,10 +159,10 @@ def _repeated(around: DataFrame, window: int) -> DataFrame:
             for at in range(0, b.num_rows, CHUNK):
                 part = b.slice(at, CHUNK)
                 name, doc = part.column(0).to_numpy(), part.column(1).to_numpy()
-                lists = part.column(4)
+                lists = part.column(3)
                 size = np.diff(lists.offsets.to_numpy())
                 carry = carry if last is not None and len(name) and name[0] == last else none
-                d, span, carry = judged(name, doc, part.column(2).to_numpy().astype(np.int64), part.column(3).to_numpy().astype(np.int64), size, lists.flatten().to_numpy(), carry)
+                d, span, carry = judged(name, doc, part.column(2).to_numpy().astype(np.int64), size, lists.flatten().to_numpy(), carry)
                 last = name[-1] if len(name) else last
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(span)], names=["doc", "span"])
 
@@ -170,16 +170,20 @@ def _repeated(around: DataFrame, window: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, text, spans (packed spans of words to remove, null if none). Ids are whole numbers."""
+    """doc_id, text, spans (packed spans of words to remove, null if none), copy (a smaller document has the same text). Ids are whole numbers."""
     if not 2 * CONTEXT + 1 <= window:
         raise ValueError(f"a window has {2 * CONTEXT + 1} words at least")
     rows = text_rows(docs, id_col, text_col)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "doc_id")
-    shared = _shared(rows.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text"), window)
-    around = _around(dealt.join(shared, F.col("doc_id") == F.col("doc")).select("doc", "text", "names"), window)
+    hashed = rows.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(3), "text").alias("h2"))
+    firsts = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first")).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first")
+    # Of equal texts only the first meets the others; the rest is repeated as a whole.
+    known = cut(hashed.join(firsts, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select(F.col("doc_id").alias("of"), (F.col("doc_id") > F.col("first")).alias("copy")).distinct())
+    lead = dealt.join(known.where("not copy"), F.col("doc_id") == F.col("of")).select(F.col("doc_id").cast("long").alias("doc"), "text")
+    around = _around(lead.join(_shared(lead, window), "doc").select("doc", "text", "names"), window)
     spans = by_document(_repeated(around.repartition(parts, "name").sortWithinPartitions("name", "doc"), window))
-    return dealt.join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans")
+    return dealt.join(known, F.col("doc_id") == F.col("of"), "left").join(spans, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -188,10 +192,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, removed, kept = [], [], []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text, spans, copy in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 w = encode(text).split()
                 at, gone, parts = 0, 0, []
-                for s, e in merged(unpacked(spans)).tolist():
+                for s, e in [(0, len(w))] if copy and len(w) >= window else merged(unpacked(spans)).tolist():
                     parts += w[at:s]
                     gone += min(e, len(w)) - s
                     at = e
