@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate, langid, linededup, mixing, neardup, pii, quality, recompress, secrets
+from loomgraph.llm import decontaminate, langid, linededup, mixing, neardup, pii, quality, recompress, secrets, suffixes
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_minhash_dedup": neardup.op3_minhash_dedup,
     "op4_language_id": langid.op4_language_id,
+    "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_substring_dedup": recompress.op8_substring_dedup,
