@@ -1,3 +1,72 @@
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
-STAGES=[]
+"""A training corpus from documents: five stages, each an operator of loomgraph.llm, each on all rows its predecessor kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's
+docs. All but the last return the columns of docs as they came.
+
+Defined cases: null, empty and letterless texts go at the first stage; where docs has no lang or no rows the first stage
+keeps nothing, and the later ones return no rows; rows with equal ids stay together.
+"""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.llm import decontaminate, langid, linededup, mixing, neardup
+
+Stage = DataFrame
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Stage:
+    """Documents whose language is rejected go: those without a letter, and those beyond their language's calibrated limit."""
+    model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    out = langid.identify(docs.select("doc_id", "text"), model).where("rejected").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(out, docs.doc_id.eqNullSafe(F.col("__id")), "left_anti")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Stage:
+    """Lines like an earlier line go; a document of which no word is left stays, with what is left."""
+    return linededup.dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Stage:
+    """Of each group of near-duplicates over five-word shingles the document with the smallest id stays."""
+    gone = neardup.link(docs).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, docs.doc_id == F.col("__id"), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Stage:
+    """Documents that hold a window of any benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    gone = decontaminate.contamination(docs, benchmark).where(F.size("items") > 0).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("__id")), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Stage:
+    """Documents of which the mix takes words, with how many; the sources come to their target weights."""
+    taken = mixing.mix(docs).select(F.col("doc_id").alias("__id"), "size", "source_size", "target", "taken").where("taken > 0")
+    return docs.join(taken, docs.doc_id.eqNullSafe(F.col("__id"))).drop("__id")
+
+
+STAGES = [("language ID", language_id), ("line dedup", line_dedup), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("mixing sources", mix_sources)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, what lies between them written to the shared checkpoint folder (a temporary one where none is set)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "loomgraph-checkpoints")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = f"{shared}/pipeline-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
+
+
+#: Language models are no SQL; tests hold the other stages to SQL and the whole to a plain version.
+ORACLE_SQL = None

@@ -37,9 +37,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies:
     by_level = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     per = per.withColumn("capped", F.sum("cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)))
     per = per.withColumn("open", F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing))).withColumn("all", F.sum("source_size").over(whole))
-    #: The level if this source and all after it stay under their caps; the first source whose cap / weight reaches it holds.
+    # The level if this source and all after it stay under their caps. It rises while sources are below it and falls after.
     per = per.withColumn("level", (F.col("all") - F.coalesce("capped", F.lit(0))) / F.col("open"))
-    per = per.withColumn("water", F.min(F.when(F.col("cap") / F.col("weight") >= F.col("level"), F.col("level"))).over(whole))
+    per = per.withColumn("water", F.max("level").over(whole))
     return per.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("water"), F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
@@ -83,7 +83,7 @@ s as (select source, sum(size) as source_size, [5.0, 2.0, 1.0][(row_number() ove
 o as (select *, 3 * source_size as cap, coalesce(sum(3 * source_size) over (order by 3 * source_size / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as capped,
   sum(w) over (order by 3 * source_size / w, source nulls last rows between current row and unbounded following) as open, sum(source_size) over () as total from s),
 l as (select *, (total - capped)::double / open as level from o),
-g as (select source, source_size, least(cap::double, coalesce(min(case when cap / w >= level then level end) over (), 0) * w) as target from l),
+g as (select source, source_size, least(cap::double, coalesce(max(level) over (), 0) * w) as target from l),
 e as (select d.*, source_size, target, case when source_size > 0 then target / source_size else 0 end as want, ((('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 13))::bigint)::double + 0.5) / 4503599627370496.0 as u
   from d join g on d.source is not distinct from g.source),
 f as (select *, least(floor(want), 3)::bigint as copies from e),
