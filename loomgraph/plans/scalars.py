@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import numbers as N
 from loomgraph.functions import text as X
+from loomgraph.operators import aggregates as A
+from loomgraph.operators import text_units as T
 from loomgraph.plans.catalog import query, table
 
 # Paths, names and addresses made from the tables, the same in Spark and in SQL.
@@ -63,7 +65,7 @@ _each(
     {"sid": r"'ts:' || regexp_replace(path, '(\.d)?\.[A-Za-z0-9]+$', '') || '#' || replace(p_name, ' ', '.') || '/method' || case when p_partkey % 3 > 0 then '~' || (p_partkey % 3) else '' end", "module": r"regexp_replace(path, '(\.d)?\.[A-Za-z0-9]+$', '')", "ordinal": "cast(p_partkey % 3 as int)"},
 )
 query("x10_module_path", rf"with m as (select p_partkey, regexp_replace(path, '(\.d)?\.[A-Za-z0-9]+$', '') as module from {PATHS}) select p_partkey, module, count(*) over (partition by module) > 1 as collides from m")(
-    lambda s, d: __import__("loomgraph.operators.aggregates", fromlist=["x"]).collisions(paths(s, d).select("p_partkey", X.module_path(c("path")).alias("module")), "module")
+    lambda s, d: A.collisions(paths(s, d).select("p_partkey", X.module_path(c("path")).alias("module")), "module")
 )
 _each("x11_truncate", docs, "doc_id", lambda: {"head": X.truncate(c("text"), 80)}, "documents", {"head": "substr(text, 1, 80)"})
 _each("x12_collapse_spaces", docs, "doc_id", lambda: {"md5": F.md5(X.collapse(c("text")))}, "documents", {"md5": r"md5(trim(regexp_replace(text, '\s+', ' ', 'g')))"})
@@ -86,7 +88,7 @@ query("x20_sections", """with l as (select doc_id, no, line from (select doc_id,
 h as (select *, case when length(line) < 40 and line <> '' then line end as head from l),
 s as (select *, last_value(head ignore nulls) over (partition by doc_id order by no) as section from h)
 select doc_id, section, count(*) as n_lines, min(no)::int as first_line from s group by 1, 2""")(
-    lambda s, d: __import__("loomgraph.operators.text_units", fromlist=["x"]).sections(docs(s, d), "doc_id", "text", lambda line: (F.length(line) < 40) & (line != ""))
+    lambda s, d: T.sections(docs(s, d), "doc_id", "text", lambda line: (F.length(line) < 40) & (line != ""))
 )
 _each(
     "x21_summary", lambda s, d: table(s, d, "nation").join(table(s, d, "customer"), c("n_nationkey") == c("c_nationkey")).groupBy("n_nationkey", "n_name").agg(F.collect_set("c_mktsegment").alias("a"), F.collect_set("c_mktsegment").alias("b")), "n_nationkey",
