@@ -66,8 +66,8 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double")))
+    scaled = lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double")))
+    return F.transform(F.array(norm(a)), scaled)[0]  # the norm is computed once
 
 
 def in_ranges(ranges: Column, line: Column) -> Column:

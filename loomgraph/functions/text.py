@@ -152,10 +152,13 @@ def sql_access(sql: Column) -> Column:
 
 def shingle_hashes(tokens: Column, k: int = 3) -> Column:
     """Sorted distinct hashes (28 bits of md5) of runs of k tokens; one for a shorter list."""
-    n = F.size(tokens)
     h = lambda x: F.conv(F.substring(F.md5(F.array_join(x, " ")), 1, 7), 16, 10).cast("long")
-    many = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: h(F.slice(tokens, i, k)))
-    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.sort_array(F.array_distinct(many)))
+
+    def of(t: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (k - 1), F.lit(1))), lambda i: h(F.slice(t, i, k)))
+        return F.when(F.size(t) == 0, F.array().cast("array<bigint>")).otherwise(F.sort_array(F.array_distinct(many)))
+
+    return F.transform(F.array(tokens), of)[0]  # the tokens are computed once
 
 
 def content_hash(*parts: Column) -> Column:

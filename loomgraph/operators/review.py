@@ -51,7 +51,7 @@ def contributions(signals: DataFrame) -> DataFrame:
     return s.withColumn("contribution", F.round(F.least(F.greatest(F.col("weight") * F.col("confidence") * amp * damp, F.lit(0.0)), F.lit(MAX_CONTRIBUTION)), 4)).drop("__s", "__r")
 
 
-def risk_scores(signals: DataFrame, subject: str = "subject", many_files: Column | None = None) -> DataFrame:
+def risk_scores(signals: DataFrame, subject: str = "subject", many_files: Column | None = None, digits: int = 4) -> DataFrame:
     """subject, score, level: most per category, noisy-OR over categories, the highest floor as least level."""
     per = signals.groupBy(subject, "category").agg(F.max("contribution").alias("c"), F.max(level_number(F.col("floor"))).alias("f"))
     s = per.groupBy(subject).agg(F.collect_list("c").alias("cs"), F.max("f").alias("f")).withColumn("raw", N.noisy_or(F.sort_array("cs")))
@@ -60,7 +60,7 @@ def risk_scores(signals: DataFrame, subject: str = "subject", many_files: Column
     own = level_number(N.risk_level(F.col("raw")))
     level = F.greatest(own, F.coalesce("f", F.lit(-1)))
     floor = F.when(F.col("f").isNotNull(), F.get(F.array(*map(F.lit, LEAST_SCORE)), level)).otherwise(0.0)
-    return s.select(subject, F.round(F.greatest("raw", floor), 4).alias("score"), F.get(F.array(*map(F.lit, LEVELS)), level).alias("level"))
+    return s.select(subject, F.round(F.greatest("raw", floor), digits).alias("score"), F.get(F.array(*map(F.lit, LEVELS)), level).alias("level"))
 
 
 def priority(severity: Column, confidence: Column, callers: Column, exposure: Column, security: Column, data: Column, test_gap: Column, change_risk: Column) -> Column:

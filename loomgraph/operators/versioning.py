@@ -105,8 +105,11 @@ def multiset_diff(base: DataFrame, head: DataFrame, keys: Sequence[str]) -> Data
 
 def rename_candidates(removed: DataFrame, added: DataFrame, min_exact: int = 6, min_fuzzy: int = 12, least: float = 0.8) -> DataFrame:
     """a, b, rule, similarity. Symbols: key, kind, name, module, body, signature, tokens, shingles. Met by equal body, equal signature or one of the four least shingles, never pair by pair."""
-    block = lambda df: df.withColumn("block", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("b"), "body"), F.concat(F.lit("s"), "signature")), F.transform(F.slice(F.sort_array("shingles"), 1, 4), lambda x: F.concat(F.lit("h"), x.cast("string"))))))).select(F.struct(*df.columns).alias("x"), "kind", "block")
-    met = block(removed).withColumnRenamed("x", "p").join(block(added).withColumnRenamed("x", "q"), ["kind", "block"]).select("p", "q").distinct()
+    removed, added = cut(removed), cut(added)
+    keys = F.concat(F.array(F.concat(F.lit("b"), "body"), F.concat(F.lit("s"), "signature")), F.transform(F.slice(F.sort_array("shingles"), 1, 4), lambda x: F.concat(F.lit("h"), x.cast("string"))))
+    block = lambda df, k: df.select(F.col("key").alias(k), "kind", F.explode(F.array_distinct(keys)).alias("block"))
+    met = block(removed, "k1").join(block(added, "k2"), ["kind", "block"]).select("k1", "k2").distinct()
+    met = met.join(removed.select(F.struct(*removed.columns).alias("p")), F.col("k1") == F.col("p.key")).join(added.select(F.struct(*added.columns).alias("q")), F.col("k2") == F.col("q.key"))
     j, n = jaccard(F.col("p.shingles"), F.col("q.shingles")), F.least("p.tokens", "q.tokens")
     exact = (F.col("p.body") == F.col("q.body")) & (n >= min_exact)
     moved = (F.col("p.signature") == F.col("q.signature")) & (F.col("p.name") == F.col("q.name")) & (F.col("p.module") != F.col("q.module")) & (n >= min_fuzzy)

@@ -18,12 +18,12 @@ ev = lambda s, d: table(s, d, "events").withColumn("ts", F.col("ts").cast("times
 _RULES = "(values " + ", ".join(f"('{a}', '{b}', {w}, {'null' if f is None else repr(f)})" for a, b, w, f in R.RULES) + ") as rules(rule, category, weight, floor)"
 _NAMES = "[" + ", ".join(f"'{r[0]}'" for r in R.RULES) + "]"
 # Signals: a line is a signal of a rule about its order.
-_SIG = f"(select l_orderkey as subject, {_NAMES}[(l_partkey % {len(R.RULES)})::int + 1] as rule, 0.5013 + l_discount * 4.9731 as confidence, l_linenumber as explanation, l_returnflag = 'R' as low_risk from lineitem)"
+_SIG = f"(select l_orderkey as subject, {_NAMES}[(l_partkey % {len(R.RULES)})::int + 1] as rule, l_linenumber / 7.0::double as confidence, l_linenumber as explanation, l_returnflag = 'R' as low_risk from lineitem)"
 
 
 def signals(s, d):
     names = F.array(*(F.lit(r[0]) for r in R.RULES))
-    li = table(s, d, "lineitem").select(c("l_orderkey").alias("subject"), F.get(names, (c("l_partkey") % len(R.RULES)).cast("int")).alias("rule"), (0.5013 + c("l_discount") * 4.9731).alias("confidence"), c("l_linenumber").alias("explanation"), (c("l_returnflag") == "R").alias("low_risk"))
+    li = table(s, d, "lineitem").select(c("l_orderkey").alias("subject"), F.get(names, (c("l_partkey") % len(R.RULES)).cast("int")).alias("rule"), (c("l_linenumber") / 7.0).alias("confidence"), c("l_linenumber").alias("explanation"), (c("l_returnflag") == "R").alias("low_risk"))
     return li.join(R.rule_table(s), "rule").withColumn("from_path", F.startswith("rule", F.lit("path.")))
 
 
@@ -35,16 +35,16 @@ from (select * from {_SIG} join {_RULES} using (rule)) x left join (select disti
 query("a9_contribution", f"select subject, rule, sum(round(contribution * 10000))::bigint as total from {_CON} group by 1, 2")(lambda s, d: R.contributions(signals(s, d)).groupBy("subject", "rule").agg(F.sum(F.round(c("contribution") * 10000).cast("long")).alias("total")))
 _SCORE = f"""with p as (select subject, category, max(contribution) as con, max({_LV.format('floor')}) as f from {_CON} group by 1, 2), s as (select subject, 1 - product(1 - con) as raw, max(f) as f from p group by 1),
 l as (select *, greatest(case when raw >= 0.75 then 3 when raw >= 0.5 then 2 when raw >= 0.25 then 1 else 0 end, coalesce(f, -1)) as lv from s)
-select subject, round(greatest(raw, case when f is null then 0 else [0, 0.25, 0.5, 0.75][lv + 1] end), 3) as score, ['low', 'medium', 'high', 'critical'][lv + 1] as level from l"""
-query("a7_risk_score", _SCORE)(lambda s, d: R.risk_scores(R.contributions(signals(s, d))).withColumn("score", F.round("score", 3)))
+select subject, round(greatest(raw, case when f is null then 0 else [0, 0.25, 0.5, 0.75][lv + 1] end)::double, 8) as score, ['low', 'medium', 'high', 'critical'][lv + 1] as level from l"""
+query("a7_risk_score", _SCORE)(lambda s, d: R.risk_scores(R.contributions(signals(s, d)), digits=8))
 query("a6_noisy_or", "select l_orderkey, round(1 - product(1 - l_discount), 6) as score from lineitem group by 1")(lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.round(1 - F.product(1 - c("l_discount")), 6).alias("score")))
 query("r7_levels", "select o_orderkey, case when o_totalprice / 500000 >= 0.75 then 'critical' when o_totalprice / 500000 >= 0.5 then 'high' when o_totalprice / 500000 >= 0.25 then 'medium' else 'low' end as level from orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", N.risk_level(c("o_totalprice") / 500000).alias("level")))
 query("r6_rules", f"select rule, category, weight::double as weight, floor from {_RULES}")(lambda s, d: R.rule_table(s))
 query("r15_untested", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 45)")(lambda s, d: table(s, d, "part").join(table(s, d, "lineitem").where("l_quantity > 45"), c("p_partkey") == c("l_partkey"), "left_anti").select("p_partkey"))
 query("r17_publication", "select o_orderkey, case when o_orderstatus = 'O' and o_orderkey % 3 = 0 then 'success' when o_orderstatus = 'O' then 'neutral' end as conclusion from orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", F.when(c("o_orderstatus") == "O", F.when(c("o_orderkey") % 3 == 0, "success").otherwise("neutral")).alias("conclusion")))
 _SEV = "['info', 'low', 'medium', 'high', 'critical'][(o_orderkey % 5)::int + 1]"
-query("t5_priority", """select o_orderkey, round(round((0.35 * (o_orderkey % 5) / 4 + 0.2 * least(o_totalprice / 400000, 1) + 0.15 * greatest(o_orderkey % 7 / 7.0, o_orderkey % 3 / 3.0) + 0.1 * (o_orderkey % 2) + 0.08 * 0.5 + 0.07 * least(log2(1 + o_custkey) / log2(33), 1) + 0.05 * (o_custkey % 2))::double, 4), 3) as p from orders""")(
-    lambda s, d: table(s, d, "orders").select("o_orderkey", F.round(R.priority(F.get(F.array(*map(F.lit, ("info", "low", "medium", "high", "critical"))), (c("o_orderkey") % 5).cast("int")), c("o_totalprice") / 400000, c("o_custkey"), c("o_orderkey") % 2 * F.lit(1.0), c("o_orderkey") % 7 / 7.0, c("o_orderkey") % 3 / 3.0, c("o_custkey") % 2 * F.lit(1.0), F.lit(0.5)), 3).alias("p"))
+query("t5_priority", """select o_orderkey, round((0.35 * (o_orderkey % 5) / 4 + 0.2 * least(round(o_totalprice / 400000, 2), 1) + 0.15 * greatest(o_orderkey % 7 / 7.0, o_orderkey % 3 / 3.0) + 0.1 * (o_orderkey % 2) + 0.08 * 0.5 + 0.07 * least(log2(1 + o_custkey) / log2(33), 1) + 0.05 * (o_custkey % 2))::double, 4) as p from orders""")(
+    lambda s, d: table(s, d, "orders").select("o_orderkey", R.priority(F.get(F.array(*map(F.lit, ("info", "low", "medium", "high", "critical"))), (c("o_orderkey") % 5).cast("int")), F.round(c("o_totalprice") / 400000, 2), c("o_custkey"), c("o_orderkey") % 2 * F.lit(1.0), c("o_orderkey") % 7 / 7.0, c("o_orderkey") % 3 / 3.0, c("o_custkey") % 2 * F.lit(1.0), F.lit(0.5)).alias("p"))
 )
 _W = {k: v for k, v in R.CONTEXT_WEIGHTS.items()}
 _REV = "['correctness', 'security', 'test', 'architecture', 'performance', 'maintainability'][(o_orderkey % 6)::int + 1]"
