@@ -35,8 +35,8 @@ from (select * from {_SIG} join {_RULES} using (rule)) x left join (select disti
 query("a9_contribution", f"select subject, rule, sum(round(contribution * 10000))::bigint as total from {_CON} group by 1, 2")(lambda s, d: R.contributions(signals(s, d)).groupBy("subject", "rule").agg(F.sum(F.round(c("contribution") * 10000).cast("long")).alias("total")))
 _SCORE = f"""with p as (select subject, category, max(contribution) as con, max({_LV.format('floor')}) as f from {_CON} group by 1, 2), s as (select subject, 1 - product(1 - con) as raw, max(f) as f from p group by 1),
 l as (select *, greatest(case when raw >= 0.75 then 3 when raw >= 0.5 then 2 when raw >= 0.25 then 1 else 0 end, coalesce(f, -1)) as lv from s)
-select subject, round(greatest(raw, case when f is null then 0 else [0, 0.25, 0.5, 0.75][lv + 1] end)::double, 8) as score, ['low', 'medium', 'high', 'critical'][lv + 1] as level from l"""
-query("a7_risk_score", _SCORE)(lambda s, d: R.risk_scores(R.contributions(signals(s, d)), digits=8))
+select subject, floor(greatest(raw, case when f is null then 0 else [0, 0.25, 0.5, 0.75][lv + 1] end)::double * 10000 + 0.5000001)::bigint as score, ['low', 'medium', 'high', 'critical'][lv + 1] as level from l"""
+query("a7_risk_score", _SCORE)(lambda s, d: R.risk_scores(R.contributions(signals(s, d)), digits=15).withColumn("score", F.floor(c("score") * 10000 + 0.5000001)))
 query("a6_noisy_or", "select l_orderkey, round(1 - product(1 - l_discount), 6) as score from lineitem group by 1")(lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.round(1 - F.product(1 - c("l_discount")), 6).alias("score")))
 query("r7_levels", "select o_orderkey, case when o_totalprice / 500000 >= 0.75 then 'critical' when o_totalprice / 500000 >= 0.5 then 'high' when o_totalprice / 500000 >= 0.25 then 'medium' else 'low' end as level from orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", N.risk_level(c("o_totalprice") / 500000).alias("level")))
 query("r6_rules", f"select rule, category, weight::double as weight, floor from {_RULES}")(lambda s, d: R.rule_table(s))
