@@ -195,3 +195,21 @@ def test_streams(spark, tmp_path):
     out = {}
     S.drain(S.windowed_counts(S.source(spark, src, schema), "ts", "1 minute", "k"), lambda df, _: out.update({(r.bucket % 3600, r.k): (r.n, r.total) for r in df.collect()}), str(tmp_path / "c2"), "update")
     assert out == {(0, "a"): (2, 3.0), (120, "b"): (1, 4.0)}
+
+
+def test_best_trail_and_caps(spark):
+    from loomgraph.operators import impact as P
+
+    e = spark.createDataFrame([("a", "calls", "s", 900), ("b", "calls", "s", 800), ("c", "calls", "a", 400), ("c", "calls", "b", 700), ("d", "calls", "c", 900)], EDGE)
+    got = {r.node: (r.distance, r.confidence, r.others) for r in P.expand(e, keys(spark, "s"), "in", 2, 50).collect()}
+    assert got == {"a": (1, 900, 0), "b": (1, 800, 0), "c": (2, 700, 1)}
+    assert {r.node for r in P.expand(e, keys(spark, "s"), "in", 1, 1).collect()} == {"a"}
+
+
+def test_oversized_clusters_are_split_at_weak_links(spark):
+    from loomgraph.operators import impact as P
+
+    links = spark.createDataFrame([(1, 2, 900), (2, 3, 100), (3, 4, 900)], "a long, b long, weight int")
+    whole = spark.createDataFrame([(i, 1) for i in range(1, 5)], "member long, cluster long")
+    assert {r.member: r.part for r in P.split_oversized(links, whole, 2).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+    assert {r.part for r in P.split_oversized(links, whole, 12).collect()} == {1}
