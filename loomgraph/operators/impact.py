@@ -59,36 +59,26 @@ def clusters(links: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def split_oversized(links: DataFrame, cluster_of: DataFrame, most: int = 12) -> DataFrame:
-    """member, part (least member): clusters of over `most` members lose their weakest links (weight, ends) until all parts fit. A cluster is a pull request's, so one task holds it."""
-
-    def parts(nodes, rows):
-        near = {n: set() for n in nodes}
-        for _, a, b in rows:
-            near[a].add(b)
-            near[b].add(a)
-        left, out = set(nodes), []
-        while left:
-            part, todo = set(), [min(left)]
-            while todo:
-                n = todo.pop()
-                if n not in part:
-                    part.add(n)
-                    todo.extend(near[n] - part)
-            left -= part
-            out.append(part)
-        return out
+    """member, part (least member): clusters of over `most` members lose their weakest links (weight, ends), one after the other, until all parts fit. A cluster is a pull request's, so one task holds it."""
 
     def cut(df: pd.DataFrame) -> pd.DataFrame:
-        todo = [(set(df.a) | set(df.b), sorted(df[["weight", "a", "b"]].itertuples(index=False, name=None)))]
-        done = []
-        while todo:
-            nodes, rows = todo.pop()
-            if len(nodes) <= most or not rows:
-                done.append(nodes)
-                continue
-            for part in parts(nodes, rows[1:]):
-                todo.append((part, [r for r in rows[1:] if r[1] in part]))
-        return pd.DataFrame([(n, min(p)) for p in done for n in p], columns=["member", "part"])
+        # What is left after the weakest links go is a run of the strongest: they are joined until a part would not fit.
+        nodes = sorted(set(df.a) | set(df.b))
+        parent, size = {n: n for n in nodes}, dict.fromkeys(nodes, 1)
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for _, a, b in sorted(df[["weight", "a", "b"]].itertuples(index=False, name=None), reverse=True):
+            x, y = sorted((find(a), find(b)))
+            if x != y:
+                if size[x] + size[y] > most:
+                    break
+                parent[y], size[x] = x, size[x] + size[y]
+        return pd.DataFrame({"member": nodes, "part": [find(n) for n in nodes]})
 
     kind = links.schema["a"].dataType.simpleString()
     j = links.join(cluster_of, F.col("a") == F.col("member")).select("cluster", "a", "b", "weight")
