@@ -213,3 +213,22 @@ def test_oversized_clusters_are_split_at_weak_links(spark):
     whole = spark.createDataFrame([(i, 1) for i in range(1, 5)], "member long, cluster long")
     assert {r.member: r.part for r in P.split_oversized(links, whole, 2).collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
     assert {r.part for r in P.split_oversized(links, whole, 12).collect()} == {1}
+
+
+def test_budgets_and_jobs_fold_in_order(spark):
+    from loomgraph.operators import control as C
+
+    r = spark.createDataFrame([("k", 1, 60, 1), ("k", 2, 60, 2), ("k", 3, 40, 3), ("j", 4, 101, 1)], "key string, id int, amount int, order int")
+    assert {x.id: x.granted for x in C.reserve(r, "key", 100).collect()} == {1: True, 2: False, 3: True, 4: False}
+    e = [("a", 1, "claim"), ("a", 2, "fail"), ("a", 3, "claim"), ("a", 4, "complete"), ("b", 1, "complete"), ("c", 1, "claim"), ("c", 2, "fail")]
+    got = {x.k: (x.state, x.attempts) for x in C.job_states(spark.createDataFrame(e, "k string, order int, what string"), "k", 1).collect()}
+    assert got == {"a": ("dead", 1), "b": ("queued", 0), "c": ("dead", 1)}
+    assert C.reserve(r.limit(0), "key", 1).count() == 0
+
+
+def test_invalidation_takes_the_strongest_action(spark):
+    from loomgraph.operators import control as C
+
+    k = lambda *x: spark.createDataFrame([(v,) for v in x], "key string")
+    e = spark.createDataFrame([("x", "calls", "a", 1), ("a", "calls", "a", 1), ("y", "reads", "a", 1)], EDGE)
+    assert {r.key: r.action for r in C.invalidation(k("a"), k("a", "b"), e).collect()} == {"a": "full", "b": "rekey", "x": "summary"}
