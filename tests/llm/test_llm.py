@@ -235,7 +235,7 @@ def test_equal_words_have_equal_interior_symbols():
 
 @pytest.mark.parametrize("broadcast", [64 << 20, -1])
 def test_lines_are_removed_as_by_brute_force(docs, rows, none, monkeypatch, broadcast):
-    monkeypatch.setattr(linededup.small, "__defaults__", (8, broadcast))
+    monkeypatch.setattr(linededup.small, "__defaults__", (broadcast,))
     seen, gone = [], defaultdict(list)
     for i, t, *_ in sorted({r[0]: r for r in rows}.values()):
         for n, line in enumerate((t or "").split("\n")):
