@@ -39,7 +39,7 @@ class _Words(dict):
 
     def __missing__(self, w: bytes) -> int:
         h = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 17:
             self.clear()
         self[w] = h
         return h
