@@ -47,8 +47,12 @@ def nearest(points: DataFrame, lines: DataFrame, key: str, most: int) -> DataFra
     return j.groupBy(*points.columns).agg(F.min(F.when(F.col("target").isNotNull(), F.struct(F.abs(F.col("line") - F.col("target")), F.col("target")))).alias("b")).select(*points.columns, F.col("b.target").alias("nearest"))
 
 
+def cover(ranges: Column) -> Column:
+    """The covered lines of an array of inclusive ranges."""
+    return F.array_distinct(F.flatten(F.transform(ranges, lambda x: F.sequence(x["start"], x["end"]))))
+
+
 def range_jaccard(a: Column, b: Column) -> Column:
     """Similarity of covered lines of arrays of inclusive ranges; 0 if either is empty."""
-    cover = lambda r: F.array_distinct(F.flatten(F.transform(r, lambda x: F.sequence(x["start"], x["end"]))))
     x, y = cover(a), cover(b)
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))

@@ -80,7 +80,7 @@ query("c7_claim_jaccard", "select conv_id, turn, case when len(a) = 0 then 1.0 e
 query("c3_shared_table_links", "select l_suppkey, l_partkey as a, lead(l_partkey) over (partition by l_suppkey order by l_partkey) as b from (select distinct l_suppkey, l_partkey from lineitem where l_quantity > 48) qualify b is not null".replace("select l_suppkey, l_partkey as a", "select l_partkey as a"))(lambda s, d: R.consecutive_links(table(s, d, "lineitem").where("l_quantity > 48"), "l_suppkey", "l_partkey"))
 query("c4_cluster_key", "select o_custkey, sha256(string_agg('o' || o_orderkey, ',' order by 'o' || o_orderkey)) as k from orders group by 1")(lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(R.cluster_key(F.collect_list(F.concat(F.lit("o"), "o_orderkey"))).alias("k")))
 query("c10_fingerprint", "select doc_id, substr(sha256('5:claim' || length(source) || ':' || source || '32:' || md5(text)), 1, 32) as f from documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.substring(X.content_hash(F.lit("claim"), c("source"), F.md5("text")), 1, 32).alias("f")))
-query("c5_merge_groups")(lambda s, d: R.merge_groups(table(s, d, "orders").where("o_orderkey % 10 = 0").select(c("o_orderkey").alias("id"), F.md5(F.concat_ws(":", "o_custkey", "o_orderpriority")).alias("fingerprint"), c("o_custkey").cast("string").alias("symbol"), c("o_orderstatus").alias("predicate"), F.expr("array(named_struct('start', o_orderkey % 30, 'end', o_orderkey % 30 + 8))").alias("ranges"), (c("o_orderkey") % 30).alias("start"), (c("o_orderkey") % 30 + 8).alias("end"), F.split("o_orderpriority", "-").alias("tokens"), F.round(c("o_totalprice") / 1e6, 3).alias("confidence"), (c("o_orderkey") % 5).alias("severity"), (c("o_orderkey") % 3).alias("evidence"))))
+query("c5_merge_groups")(lambda s, d: R.merge_groups(table(s, d, "orders").select(c("o_orderkey").alias("id"), F.md5(F.concat_ws(":", "o_custkey", "o_orderpriority")).alias("fingerprint"), c("o_custkey").cast("string").alias("symbol"), c("o_orderstatus").alias("predicate"), F.expr("array(named_struct('start', o_orderkey % 30, 'end', o_orderkey % 30 + 8))").alias("ranges"), (c("o_orderkey") % 30).alias("start"), (c("o_orderkey") % 30 + 8).alias("end"), F.split("o_orderpriority", "-").alias("tokens"), F.round(c("o_totalprice") / 1e6, 3).alias("confidence"), (c("o_orderkey") % 5).alias("severity"), (c("o_orderkey") % 3).alias("evidence"))))
 query("a12_conventions", """with g as (select l_suppkey, count(*) as n, avg((l_tax > 0.005)::int) as consistency, count(distinct l_returnflag) as modules from lineitem group by 1)
 select l_suppkey, n, consistency, modules, round(consistency * least(1, ln(1 + n) / ln(31)) * least(1, modules / 3), 6) as confidence, round(consistency * least(1, ln(1 + n) / ln(31)) * least(1, modules / 3), 6) >= 0.9 and n >= 10 as enforceable from g""")(
     lambda s, d: R.conventions(table(s, d, "lineitem").select("l_suppkey", (c("l_tax") > 0.005).alias("conforms"), c("l_returnflag").alias("module")), ["l_suppkey"])
