@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,8 +119,11 @@ def rename_candidates(removed: DataFrame, added: DataFrame, min_exact: int = 6,
 
 
 def assign(pairs: DataFrame, rounds: int = 32) -> DataFrame:
-    """One-to-one pairs a, b by falling similarity, then a, then b: in each round those best on both sides are taken. Sides whose best is tied are left out first."""
-    pairs = cut(pairs)
+    """One-to-one pairs a, b (neither null) by falling similarity, then a, then b: in each round those best on both sides are taken. Sides whose best is tied are left out first.
+
+    Rounds take what is best at once; what a long chain leaves after `rounds` is folded in order, one task a component, so no pair is lost.
+    """
+    pairs = cut(pairs.where("a is not null and b is not null"))
     tied = lambda k: pairs.withColumn("r", F.rank().over(Window.partitionBy(k).orderBy(F.desc("similarity")))).where("r = 1").groupBy(k).count().where("count > 1").select(k)
     left = cut(pairs.join(tied("a"), "a", "left_anti").join(tied("b"), "b", "left_anti"))
     taken = None
@@ -129,8 +133,31 @@ def assign(pairs: DataFrame, rounds: int = 32) -> DataFrame:
         taken = best if taken is None else taken.unionByName(best)
         left = cut(left.join(best.select("a"), "a", "left_anti").join(best.select("b"), "b", "left_anti"))
         if not left.limit(1).count():
-            break
-    return taken
+            return taken
+    rest = _assign_in_order(left.select(*pairs.columns))
+    return rest if taken is None else taken.select(*pairs.columns).unionByName(rest)
+
+
+def _assign_in_order(left: DataFrame) -> DataFrame:
+    """The pairs that are taken one after the other, each component of pairs by itself."""
+    from loomgraph.operators.graph import components
+
+    def fold(df: pd.DataFrame) -> pd.DataFrame:
+        a, b, keep = set(), set(), []
+        df = df.sort_values("__o")
+        for x, y in df[["a", "b"]].itertuples(index=False, name=None):
+            keep.append(x not in a and y not in b)
+            if keep[-1]:
+                a.add(x)
+                b.add(y)
+        return df[keep][names]
+
+    names = left.columns
+    side = lambda k: F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))
+    group = components(left.select(side("a").alias("a"), side("b").alias("b")))
+    rows = left.withColumn("__k", side("a")).join(group, F.col("__k") == F.col("node_key"))
+    rows = rows.withColumn("__o", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("similarity"), "a", "b")))
+    return rows.select("component", "__o", *names).groupBy("component").applyInPandas(fold, left.schema)
 
 
 def transition(name_a: Column, name_b: Column, module_a: Column, module_b: Column) -> Column:

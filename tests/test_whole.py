@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import graph as G
 from loomgraph.operators import review as R
+from loomgraph.operators import versioning as V
 
 
 def test_merge_groups_are_those_of_all_pairs(spark):
@@ -58,3 +59,21 @@ def test_folds_run_over_whole_tables(spark, name, table, key, column):
     if name == "c2_cluster_split":
         rows = rows.join(spark.read.parquet(f"{d}/orders.parquet").join(spark.read.parquet(f"{d}/lineitem.parquet"), F.col("l_orderkey") == F.col("o_orderkey")), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
     assert rows.count() > 0 and rows.join(got, F.col(f"{column}") == rows[key] if column != key else key, "left_anti").count() == 0
+
+
+@pytest.mark.parametrize("rounds", [32, 2])
+def test_assignment_ends_long_chains(spark, rounds):
+    """A chain resolves one pair a round; with few rounds random pairs are finished in order too."""
+    n, rng = 40, random.Random(3)
+    pairs = [(i, 1000 + j, 1 - (i + j) / 1000) for i in range(n) for j in (i - 1, i) if j >= 0]
+    # A second component of scattered pairs, each similarity once.
+    scattered = sorted({(rng.randrange(2000, 2030), rng.randrange(3000, 3030)) for _ in range(150)})
+    pairs += [(a, b, s / 1000) for (a, b), s in zip(scattered, rng.sample(range(900), len(scattered)))]
+    a, b, want = set(), set(), set()
+    for x, y, _ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if x not in a and y not in b:
+            a.add(x)
+            b.add(y)
+            want.add((x, y))
+    got = V.assign(spark.createDataFrame(pairs, "a long, b long, similarity double").repartition(3), rounds).collect()
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want and (0, 1000) in want and (n - 1, 1000 + n - 1) in want
