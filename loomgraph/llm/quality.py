@@ -25,9 +25,11 @@ WINDOW = 8
 KEEP, GRID, STEPS, LEAST, SALT = 0.75, 64, 3, 60, 16
 #: KEEP over the chance that chi-squared with 7 degrees is below its 5-degree quantile at KEEP.
 CONSISTENCY = 1.41
-CUT = 64.0
+#: The 0.999 quantile of chi-squared with 5 degrees.
+CUT = 20.515
 STATS = ("x_words", "x_length", "x_symbols", "x_lines", "x_repeat")
-RIDGE = (0.3, 0.06, 0.25, 0.15, 0.15)
+#: x_lines ends at 1 and x_repeat, after the base rules, at sqrt(0.3): their ridges are under these over sqrt(CUT), so that each can pass CUT by itself.
+RIDGE = (0.3, 0.06, 0.25, 0.15, 0.1)
 
 
 def let(value: Column, body) -> Column:

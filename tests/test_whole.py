@@ -77,3 +77,19 @@ def test_assignment_ends_long_chains(spark, rounds):
             want.add((x, y))
     got = V.assign(spark.createDataFrame(pairs, "a long, b long, similarity double").repartition(3), rounds).collect()
     assert len(got) == len(want) and {(r.a, r.b) for r in got} == want and (0, 1000) in want and (n - 1, 1000 + n - 1) in want
+
+
+def test_repetition_alone_is_an_outlier(spark):
+    """Texts that are normal but for repeated lines, or for repeated words under the base limit, are rejected."""
+    from loomgraph.llm import quality
+
+    rng = random.Random(2)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    rows = [(i, "\n".join(line(8) for _ in range(10))) for i in range(300)]
+    same = [line(1) for _ in range(5)]
+    rows += [(1000 + i, "\n".join(f"{same[i]}\n{line(10)}" for _ in range(8)) + f"\n{same[i]}" * 4) for i in range(5)]
+    rows += [(2000 + i, "\n".join([w := line(11)] + [line(9) for _ in range(6)] + [w])) for i in range(5)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert all(got[i].kept for i in range(300)) and not any(r.kept for i, r in got.items() if i >= 1000)
+    assert 1 / quality.RIDGE[3] ** 2 > quality.CUT and 0.3 / quality.RIDGE[4] ** 2 > quality.CUT
