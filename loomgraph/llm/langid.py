@@ -1,6 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Text is lower-cased, each letter of the basic plane is one 16-bit symbol, everything else is a space, runs of spaces
+Text is lower-cased, each letter of the basic plane is one 16-bit symbol, letters beyond it share the symbols of its
+private range (CJK and the first Linear scripts one symbol), everything else is a space, runs of spaces
 are one. Per language a 4-gram model with modified continuation counts for the lower orders is learned; the final
 interpolated log-probabilities of all languages stand side by side in one table per order, whose keys are the packed
 symbols under a bijective multiplicative hash, sorted, so that a text is scored by binary search in whole arrays: a
@@ -36,7 +37,7 @@ _LETTER: np.ndarray | None = None
 
 
 def _letters() -> np.ndarray:
-    """Symbol of each code point: its lower-case letter, or a space."""
+    """Symbol of each code point: its lower-case letter, or a space. Letters beyond the basic plane share its private range, where no letter is."""
     global _LETTER
     if _LETTER is None:
         table = np.full(0x110000, 32, np.uint16)
@@ -45,7 +46,10 @@ def _letters() -> np.ndarray:
             if c.isalpha():
                 low = c.lower()
                 table[cp] = ord(low) if len(low) == 1 and ord(low) < 0x10000 else cp
-        table[0x10000:] = 32
+        for cp in range(0x10000, 0x110000):
+            c = chr(cp)
+            if c.isalpha():
+                table[cp] = 0xE000 + ord(c.lower()[0]) % 0x1900
         for first, last in ((0x20000, 0x323B0), (0x10000, 0x10400)):
             table[first:last] = 0xFFFF
         _LETTER = table

@@ -93,3 +93,13 @@ def test_repetition_alone_is_an_outlier(spark):
     assert not any(r.base_failed for r in got.values())
     assert all(got[i].kept for i in range(300)) and not any(r.kept for i, r in got.items() if i >= 1000)
     assert 1 / quality.RIDGE[3] ** 2 > quality.CUT and 0.3 / quality.RIDGE[4] ** 2 > quality.CUT
+
+
+def test_letters_beyond_the_basic_plane_are_letters():
+    from loomgraph.llm import langid
+
+    adlam, deseret, chakma = "\U0001e900\U0001e922", "\U00010414\U0001043c", "\U00011103\U00011104"
+    for t in (adlam, deseret, chakma, "\U0001d400\U0001d401", "\U00020000\U00020001"):
+        assert len(langid.symbols(t)) == 4
+    assert list(langid.symbols("\U00010414")) == list(langid.symbols("\U0001043c")) != list(langid.symbols("\U0001e922"))
+    assert not len(langid.symbols("\U0001f600 1")) and list(langid.symbols("Ab")) == [32, 97, 98, 32]
