@@ -4,10 +4,11 @@ Three base rules find their kinds wherever they stand. The method adds to them:
 syntax (`name = literal`, `name: literal`, `"name": "literal"`, `name := literal`, `name => literal`, `export NAME=x`)
 into name-literal pairs; a literal that a name was bound to is carried to later uses of that name (`b = a`, `${a}`,
 `"x" + a`); each literal is scored by how sensitive the name it ends up under is and by its own shape, and literals that
-score enough become spans of kind `literal`.
+score enough become spans of kind `literal`. The pieces of a concatenation are scored each and joined; what passes joined
+gives a span for each of its pieces, and the name carries them all.
 
 Defined cases: a null or empty text has no spans; equal spans of different kinds stay apart; repeated rows are judged
-each on their own. Offsets are code points, end exclusive.
+each on their own; a literal counts once in a joined value, whatever the number of its uses. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: name, operator, then a quoted literal or a bare one up to a separator.
-_PAIR = re.compile(r"""(?<![A-Za-z0-9_.$-])["']?([A-Za-z_][A-Za-z0-9_.-]{0,127}+)["']?[\x20\t]*+(?::=|=>|==?|:(?!//))[\x20\t]*+(?:"([^"\n\\]*(?:\\.[^"\n\\]*)*)"|'([^'\n\\]*(?:\\.[^'\n\\]*)*)'|`([^`\n]*)`|([^\s"'`,;(){}\[\]<>]++))((?:[\x20\t]*\+[\x20\t]*(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z_][A-Za-z0-9_.]*+))*)""", re.A)
+_PAIR = re.compile(r"""(?<![A-Za-z0-9_.$-])["']?([A-Za-z_][A-Za-z0-9_.-]*+)["']?[\x20\t]*+(?::=|=>|==?|:(?!//))[\x20\t]*+(?:"([^"\n\\]*(?:\\.[^"\n\\]*)*)"|'([^'\n\\]*(?:\\.[^'\n\\]*)*)'|`([^`\n]*)`|([^\s"'`,;(){}\[\]<>]++))((?:[\x20\t]*\+[\x20\t]*(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z_][A-Za-z0-9_.]*+))*)""", re.A)
 _PART = re.compile(r"""["']([^"'\n]*)["']|([A-Za-z_][A-Za-z0-9_.]*)""", re.A)
 _REFERENCE = re.compile(r"^(?:\$\{?|%|#\{|\{\{\s*)?([A-Za-z_][A-Za-z0-9_.]*)(?:\}|%|\}\})?$", re.A)
 #: Weights of the parts of a name.
@@ -54,28 +55,31 @@ def literal_score(value: str) -> float:
     return min(bits / 4.0, 1.0) + 0.25 * (classes - 1) - (0.7 if classes == 1 else 0.0)
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """Name, literal, and where the literal stands, constants carried along."""
-    bound: dict[str, tuple[str, int, int]] = {}
+def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    """Name and the pieces of its value, literals and where they stand, constants carried along: each piece, then all if joined."""
+    bound: dict[str, list[tuple[str, int, int]]] = {}
     for m in _PAIR.finditer(text):
         name = m[1]
         k = next(i for i in (2, 3, 4, 5) if m[i] is not None)
-        value, start, end = m[k], *m.span(k)
-        ref = _REFERENCE.match(value) if k == 5 or value[:1] in "$%#{" else None
+        first = [(m[k], *m.span(k))]
+        ref = _REFERENCE.match(m[k]) if k == 5 or m[k][:1] in "$%#{" else None
         if ref and ref[1] in bound:
-            value, start, end = bound[ref[1]]
-        yield name, value, start, end
-        joined = value
+            first = bound[ref[1]]
+        # A bare word before a plus is a name of which nothing is known: it is no part of what is joined.
+        joined = [] if ref and ref[1] not in bound and m[6] else list(first)
+        yield name, first
         for p in _PART.finditer(text, *m.span(6)):
             if p[1] is not None:
-                piece = (p[1], *p.span(1))
+                piece = [(p[1], *p.span(1))]
             elif p[2] in bound:
                 piece = bound[p[2]]
             else:
                 continue
-            joined += piece[0]
-            yield name, piece[0], piece[1], piece[2]
-        bound[name] = (value, start, end)
+            joined += piece
+            yield name, piece
+        bound[name] = list(dict.fromkeys(joined)) or first
+        if len(bound[name]) > 1:
+            yield name, bound[name]
 
 
 def spans_of(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
@@ -86,7 +90,8 @@ def spans_of(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str,
     found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     if "=" in text or ":" in text:
-        extra = {(start, end) for name, value, start, end in pairs(text) if end > start and (n := name_score(name)) >= 1.0 and n + literal_score(value) >= threshold}
+        sensitive = ((n, some) for name, pieces in pairs(text) if (n := name_score(name)) >= 1.0 for some in (pieces, *([p] for p in pieces if len(pieces) > 1)))
+        extra = {(start, end) for n, some in sensitive if n + literal_score("".join(p[0] for p in some)) >= threshold for _, start, end in some if end > start}
         found += [("literal", s, e) for s, e in extra]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -103,3 +103,15 @@ def test_letters_beyond_the_basic_plane_are_letters():
         assert len(langid.symbols(t)) == 4
     assert list(langid.symbols("\U00010414")) == list(langid.symbols("\U0001043c")) != list(langid.symbols("\U0001e922"))
     assert not len(langid.symbols("\U0001f600 1")) and list(langid.symbols("Ab")) == [32, 97, 98, 32]
+
+
+def test_joined_secrets_are_scored_whole():
+    from loomgraph.llm import secrets
+
+    found = lambda t: [t[a:b] for k, a, b in secrets.spans_of(t) if k == "literal"]
+    assert found('client_token = "Zx9!" + "kQ82" + "mP4w"') == ["Zx9!", "kQ82", "mP4w"]
+    assert found('part = "Zx9!" + "kQ82" + "mP4w"\nclient_token = part') == ["Zx9!", "kQ82", "mP4w"]
+    assert found('a = "Zx9!"\nb = "kQ82"\nclient_token = a + b + "mP4w"') == ["Zx9!", "kQ82", "mP4w"]
+    assert found('color = "Zx9!" + "kQ82" + "mP4w"') == found('client_token = "no" + "ne"') == []
+    assert found("x" * 200 + '_client_token = "Zx9!kQ82mP4w"') == ["Zx9!kQ82mP4w"]
+    assert found('a = "Zx9!kQ82mP4w"\n' + "a = a + a\n" * 60 + "client_token = a") == ["Zx9!kQ82mP4w"]
