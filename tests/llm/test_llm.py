@@ -233,9 +233,10 @@ def test_equal_words_have_equal_interior_symbols():
     assert all(wa[17 + i] == wb[i] for i in range(30 - 12))
 
 
-@pytest.mark.parametrize("broadcast", [64 << 20, -1])
-def test_lines_are_removed_as_by_brute_force(docs, rows, none, monkeypatch, broadcast):
-    monkeypatch.setattr(linededup.small, "__defaults__", (broadcast,))
+@pytest.mark.parametrize(("broadcast", "hot"), [(64 << 20, 256), (-1, 256), (64 << 20, 3), (-1, 0)])
+def test_lines_are_removed_as_by_brute_force(docs, rows, none, monkeypatch, broadcast, hot):
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(linededup, "HOT", hot)
     seen, gone = [], defaultdict(list)
     for i, t, *_ in sorted({r[0]: r for r in rows}.values()):
         for n, line in enumerate((t or "").split("\n")):
