@@ -6,7 +6,11 @@ space, so that a window is a plain substring between spaces; the automaton reads
 are mapped back to offsets of the original text.
 
 Defined cases: a null or empty text has no words and no hits; an item without words gives nothing; equal windows of
-several items count for each of them; repeated documents are judged each on their own; an empty benchmark hits nothing.
+several items count for each of them; repeated documents and documents without an id are judged each on their own; an item
+without an id still hits words, but is no item of the list; an empty benchmark hits nothing; other columns play no part.
+
+The windows are sent to all executors in parts of `max_bytes` at most; documents are read once a part, and the parts'
+results are joined by row. A benchmark of one part, the usual case, needs no join.
 """
 
 from __future__ import annotations
@@ -17,14 +21,14 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import encode, read, text_rows
+from loomgraph.llm.common import cut, encode, read, text_rows
 
 WINDOW = 8
-#: Bound on the normalised benchmark that is sent to every executor, in bytes.
-MAX_BENCHMARK_BYTES = 64 << 20
+#: Bound on the windows of the benchmark that one automaton holds, in bytes of their text; what is more makes further parts.
+PART_BYTES = 64 << 20
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ORIGINAL = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 #: The automaton of this Python worker, by digest of its patterns.
@@ -35,13 +39,15 @@ def normal_words(text: str | None) -> list[bytes]:
     return encode(text).translate(_KEEP).split()
 
 
-def windows(items: Iterable[tuple[str, str | None]], window: int = WINDOW) -> dict[bytes, list[str]]:
-    """Window, with a space at either end, to the ids of the items that hold it."""
+def windows(items: Iterable[tuple[str | None, str | None]], window: int = WINDOW) -> dict[bytes, list[str]]:
+    """Window, with a space at either end, to the ids of the items that hold it (none for an item without an id)."""
     found: dict[bytes, set[str]] = defaultdict(set)
     for item, text in items:
         w = normal_words(text)
         for i in range(max(1, len(w) - window + 1) if w else 0):
-            found[b" " + b" ".join(w[i : i + window]) + b" "].add(item)
+            ids = found[b" " + b" ".join(w[i : i + window]) + b" "]
+            if item is not None:
+                ids.add(item)
     return {k: sorted(v) for k, v in found.items()}
 
 
@@ -79,19 +85,11 @@ def scan(automaton, text: str | None) -> tuple[int, list[tuple[int, int]], set[s
     return len(w), [(a, b) for a, b in merged], items
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, items (array of ids as strings, sorted), spans (array of start and end in the original, end exclusive).
-
-    The benchmark is brought to the driver, as it must fit `max_bytes`; a larger one is refused.
-    """
-    spark = docs.sparkSession
-    known = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t is not null")
-    held = known.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).head()[0]
-    if held > max_bytes:
-        raise ValueError(f"the benchmark has {held} bytes, more than max_bytes={max_bytes}")
-    patterns = windows(known.toLocalIterator(), window)
+def _scanned(rows: DataFrame, patterns: dict[bytes, list[str]]) -> DataFrame:
+    """The columns of rows but text, with n_words, runs of hit words, items and spans under one automaton. rows: text last."""
     key = hashlib.sha256(repr(sorted(patterns.items())).encode()).hexdigest()
-    sent = spark.sparkContext.broadcast(patterns)
+    sent = rows.sparkSession.sparkContext.broadcast(patterns)
+    names = [*rows.columns[:-1], "n_words", "runs", "items", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _built:
@@ -99,28 +97,83 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             _built[key] = _automaton(sent.value)
         automaton = _built[key]
         for b in batches:
-            n_words, n_hit, items, spans = [], [], [], []
-            for text in b.column(1).to_pylist():
-                n, runs, ids = scan(automaton, text)
+            n_words, runs, items, spans = [], [], [], []
+            for text in b.column(b.num_columns - 1).to_pylist():
+                n, found, ids = scan(automaton, text)
                 n_words.append(n)
-                n_hit.append(sum(e - s for s, e in runs))
+                runs.append([{"s": s, "e": e} for s, e in found])
                 items.append(sorted(ids))
-                if runs:
+                if found:
                     at = [m.span() for m in _ORIGINAL.finditer(text)]
-                    spans.append([{"start": at[s][0], "end": at[e - 1][1]} for s, e in runs])
+                    spans.append([{"start": at[s][0], "end": at[e - 1][1]} for s, e in found])
                 else:
                     spans.append([])
+            pair = lambda x, y: pa.list_(pa.struct([(x, pa.int64()), (y, pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["doc_id", "n_words", "n_hit", "items", "spans"],
+                [*b.columns[:-1], pa.array(n_words, pa.int64()), pa.array(runs, pair("s", "e")), pa.array(items, pa.list_(pa.string())), pa.array(spans, pair("start", "end"))],
+                names=names,
             )
 
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns[:-1])
+    return rows.mapInArrow(run, f"{kinds}, n_words long, runs array<struct<s: long, e: long>>, items array<string>, spans array<struct<start: long, end: long>>")
+
+
+def _parts(known: DataFrame, window: int, most: int) -> Iterator[dict[bytes, list[str]]]:
+    """The windows of the items in parts of `most` bytes at most (one item at least)."""
+    held: list[tuple[str | None, str]] = []
+    size = 0
+    for i, t in known.toLocalIterator():
+        # A word of an item stands in `window` windows at most.
+        cost = window * len(encode(t))
+        if held and size + cost > most:
+            yield windows(held, window)
+            held, size = [], 0
+        held.append((i, t))
+        size += cost
+    yield windows(held, window)
+
+
+def _together(first: str | Column, second: str | Column) -> Column:
+    """Sorted disjoint runs of two such arrays; touching ones stay two, as they cover the same."""
+    both = F.array_sort(F.concat(first, second))
+    last = lambda acc: F.element_at(acc, -1)
+
+    def step(acc: Column, x: Column) -> Column:
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc).s.alias("s"), F.greatest(last(acc).e, x.e).alias("e"))))
+        return F.when(F.size(acc) == 0, F.array(x)).when(x.s <= last(acc).e, joined).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(both, F.slice(both, 1, 0), step)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, items (array of ids as strings, sorted), spans (array of start and end in the original, end exclusive)."""
+    known = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t is not null")
     rows = text_rows(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
+    held = known.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).head()[0]
+    if held * window <= part_bytes:
+        found = _scanned(rows, windows(known.toLocalIterator(), window))
+    else:
+        # Rows are told apart by a number, as ids may repeat; it is written, so that all parts see the same.
+        rows = cut(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"))
+        found = None
+        for patterns in _parts(known, window, part_bytes):
+            part = cut(_scanned(rows, patterns))
+            if found is None:
+                found = part
+            else:
+                more = part.select(F.col("row").alias("r2"), F.col("runs").alias("runs2"), F.col("items").alias("items2"), F.col("spans").alias("spans2"))
+                found = cut(
+                    found.join(more, F.col("row") == F.col("r2")).select(
+                        "doc_id", "row", "n_words", _together("runs", "runs2").alias("runs"), F.array_sort(F.array_union("items", "items2")).alias("items"),
+                        F.transform(_together(*(F.transform(c, lambda x: F.struct(x.start.alias("s"), x.end.alias("e"))) for c in ("spans", "spans2"))), lambda x: F.struct(x.s.alias("start"), x.e.alias("end"))).alias("spans"),
+                    )
+                )
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, x: a + x.e - x.s)
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words and items of all documents against all of benchmark; a document of two items or more is contaminated."""
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"))
 

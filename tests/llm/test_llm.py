@@ -226,8 +226,10 @@ def test_contamination_is_that_of_plain_search(spark, docs, rows, none):
         assert all((t[s.start : s.end].strip() and low(t[s.start : s.end])) for s in got[i].spans)
     assert decontaminate.contamination(none, bench).count() == 0
     assert all(not r["items"] for r in decontaminate.contamination(docs, bench.limit(0)).collect())
-    with pytest.raises(ValueError):
-        decontaminate.contamination(docs, bench, max_bytes=3)
+    # In parts of one item each, with repeated rows of one id; an item without an id hits, but is not listed.
+    odd = bench.unionByName(spark.createDataFrame([(None, rows[21][1])], "item_id long, text string"))
+    whole, parts = (sorted(map(repr, decontaminate.contamination(docs, odd, part_bytes=n).select("doc_id", "n_words", "n_hit", "items").collect())) for n in (64 << 20, 3))
+    assert whole == parts and len(parts) == len(rows)
 
 
 def test_words_are_removed_as_by_brute_force(docs, rows, none):
