@@ -1,20 +1,22 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Text is lower-cased, each letter of the basic plane is one 16-bit symbol, letters beyond it share the symbols of its
-private range (CJK and the first Linear scripts one symbol), everything else is a space, runs of spaces
-are one. Per language a 4-gram model with modified continuation counts for the lower orders is learned; the final
+private range, everything else (by Unicode's own classes) is a space, runs of spaces are one. Per language a 4-gram model with modified continuation counts for the lower orders is learned; the final
 interpolated log-probabilities of all languages stand side by side in one table per order, whose keys are the packed
 symbols under a bijective multiplicative hash, sorted, so that a text is scored by binary search in whole arrays: a
 4-gram of the table costs one search, others back off through the weights of their contexts.
 The language with the lowest cross-entropy per character wins. Its confidence comes from a logistic curve over the
 margin to the second, fitted on labelled documents kept out of the counts; a document is rejected if it has no letter or
-if its cross-entropy lies beyond the calibrated limit of the winning language.
+if its cross-entropy, less `SLACK` over the root of its length, lies beyond the limit of the winning language: the value
+that one right document in 1 / `FALSE_REJECTS` exceeds, by an exponential tail fitted to the highest tenth of those documents.
 
 Learning takes about `sample` labelled documents a language, chosen by the hash of their id; that is the documented
-bound of the model's size. Whole texts are counted and scored.
+bound of the model's size a language. Languages are not limited: they stand in blocks of `BLOCK`, each with its own
+tables, so that the model grows in proportion to them. Whole texts are counted and scored.
 
 Defined cases: null or letterless text is `und` with score 0, rejected; a null lang is never learned from; with no
-labelled document everything is `und`; ties between languages go to the first by code point.
+labelled document everything is `und`; ties between languages go to the first by code point; repeated rows are judged
+each on their own; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -27,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import read, text_rows
+from loomgraph.llm.common import cut, read, text_rows
 
 SAMPLE = 3000
-MAX_LANGUAGES = 256
+BLOCK = 64
+SLACK, FALSE_REJECTS = 4.0, 1e-4
+#: The table of languages and their rows is sent to all executors up to so many rows, which are counted first.
+BROADCAST_ROWS = 1 << 20
 DISCOUNT = 0.75
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LETTER: np.ndarray | None = None
@@ -50,8 +55,6 @@ def _letters() -> np.ndarray:
             c = chr(cp)
             if c.isalpha():
                 table[cp] = 0xE000 + ord(c.lower()[0]) % 0x1900
-        for first, last in ((0x20000, 0x323B0), (0x10000, 0x10400)):
-            table[first:last] = 0xFFFF
         _LETTER = table
     return _LETTER
 
@@ -77,20 +80,30 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return k, np.bincount(at, counts, len(k))
 
 
-class Model:
-    """The tables of all languages. counts: language to packed 4-grams and how often they occur."""
+_LOW = [np.uint64((1 << (16 * o)) - 1) for o in (1, 2, 3, 4)]
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.languages = sorted(counts)
-        n, sixteen = len(self.languages), np.uint64(16)
-        low = [np.uint64(0xFFFF), np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFFFFFF), np.uint64(0xFFFFFFFFFFFFFFFF)]
-        union4 = np.unique(np.concatenate([k for k, _ in counts.values()])) if n else np.zeros(0, np.uint64)
+
+def tail_limit(falling: list[float], rate: float = FALSE_REJECTS) -> float:
+    """What a value exceeds with a chance of `rate`, by an exponential tail over the highest tenth of such values (its scale is 0.05 at least)."""
+    k = max(1, len(falling) // 10)
+    start = falling[min(k, len(falling) - 1)]
+    scale = max(0.05, sum(x - start for x in falling[:k]) / k)
+    return max(falling[0], start + scale * math.log(k / len(falling) / rate))
+
+
+class Tables:
+    """The tables of some languages side by side. counts: language to packed 4-grams and how often they occur; floor: log-probability of a symbol at large."""
+
+    def __init__(self, languages: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]], floor: float):
+        n, sixteen = len(languages), np.uint64(16)
+        low = _LOW
+        union4 = np.unique(np.concatenate([counts[lang][0] for lang in languages]))
         keys = [np.unique(union4 & m) for m in low[:3]] + [union4]
         contexts = [np.unique(k >> sixteen) for k in keys]  # of order 1 there is the empty one
-        self.floor = math.log(1.0 / (len(keys[0]) + 1)) if n else 0.0
+        self.floor, self.n = floor, n
         logp = [np.zeros((len(k), n), np.float32) for k in keys]
         logb = [np.zeros((len(c), n), np.float32) for c in contexts]
-        for j, lang in enumerate(self.languages):
+        for j, lang in enumerate(languages):
             k4, c4 = counts[lang]
             order = [None, None, None, (k4, c4.astype(float))]
             for o in (2, 1, 0):  # continuation counts: how many different symbols come before
@@ -115,14 +128,12 @@ class Model:
             hashed, ctx = keys[o] * _ODD, contexts[o] * _ODD
             a, b = np.argsort(hashed), np.argsort(ctx)
             self.tables.append((hashed[a], logp[o][a], ctx[b], logb[o][b]))
-        self.slope, self.shift = 1.0, 0.0
-        self.limits = np.full(n, np.inf)
 
     def entropies(self, g: np.ndarray) -> np.ndarray:
         """Mean negative log-probability of the grams under each language."""
-        out = np.zeros(len(self.languages))
+        out = np.zeros(self.n)
         total = len(g)
-        weights = np.zeros(len(self.languages))
+        weights = np.zeros(self.n)
         for o in (3, 2, 1, 0):
             keys, logp, ctx, logb = self.tables[o]
             h = g * _ODD
@@ -139,6 +150,21 @@ class Model:
         out += weights + len(g) * self.floor
         return -out / max(1, total)
 
+class Model:
+    """All languages, in blocks. counts: language to packed 4-grams and how often they occur."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], block: int = BLOCK):
+        self.languages = sorted(counts)
+        symbols_seen = len(np.unique(np.concatenate([np.unique(k & _LOW[0]) for k, _ in counts.values()]))) if counts else 0
+        floor = math.log(1.0 / (symbols_seen + 1))
+        self.blocks = [Tables(self.languages[i : i + block], counts, floor) for i in range(0, len(self.languages), block)]
+        self.slope, self.shift = 1.0, 0.0
+        self.limits = np.full(len(self.languages), np.inf)
+
+    def entropies(self, g: np.ndarray) -> np.ndarray:
+        """Mean negative log-probability of the grams under each language."""
+        return np.concatenate([b.entropies(g) for b in self.blocks])
+
     def judge(self, text: str | None) -> tuple[str, float, bool, float, float, int]:
         """Language, score, rejected, its cross-entropy, margin to the second, grams."""
         g = grams(symbols(text))[1:] if text else np.zeros(0, np.uint64)
@@ -148,7 +174,7 @@ class Model:
         best = int(np.argmin(h))
         margin = float(np.partition(h, 1)[1] - h[best]) * math.sqrt(len(g)) if len(h) > 1 else math.sqrt(len(g))
         score = 1 / (1 + math.exp(-min(50.0, max(-50.0, self.slope * margin + self.shift))))
-        return self.languages[best], score, bool(h[best] > self.limits[best] + 4 / math.sqrt(len(g))), float(h[best]), margin, len(g)
+        return self.languages[best], score, bool(h[best] - SLACK / math.sqrt(len(g)) > self.limits[best]), float(h[best]), margin, len(g)
 
     def calibrate(self, labelled: list[tuple[str, str]]) -> None:
         """Confidence and limits from labelled texts that were not counted."""
@@ -166,23 +192,22 @@ class Model:
             a, b = a - 2.0 * float(((p - t) * z).mean()), b - 2.0 * float((p - t).mean())
         self.slope, self.shift = max(0.01, a / 10.0), b
         for j, lang in enumerate(self.languages):
-            own = [s[4] for s in seen if s[0] == s[1] == lang]
+            own = sorted((s[4] - SLACK / math.sqrt(s[6]) for s in seen if s[0] == s[1] == lang), reverse=True)
             if own:
-                self.limits[j] = max(own) + 0.5
+                self.limits[j] = tail_limit(own)
 
 
 def _share(rows: DataFrame, sample: int) -> DataFrame:
     """About `sample` rows of each lang, by the hash of the id."""
-    per = rows.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "of")
+    per = cut(rows.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "of"))
+    per = F.broadcast(per) if per.count() <= BROADCAST_ROWS else per
     part = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
-    return rows.join(F.broadcast(per.orderBy("of").limit(MAX_LANGUAGES)), F.col("lang") == F.col("of")).where(part < F.lit(1_000_000.0) * sample / F.col("n")).drop("of", "n")
+    return rows.join(per, F.col("lang") == F.col("of")).where(part < F.lit(1_000_000.0) * sample / F.col("n")).drop("of", "n")
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """labelled: doc_id, text, lang. One in ten of the sample, 300 a language at most, calibrates."""
     rows = labelled.where("lang is not null and text is not null")
-    if rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     kept_out = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(10)) == 0
     chosen = _share(rows, sample)
 
@@ -229,6 +254,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those that are not held out."""
     docs = read(spark, sf_dir, "documents")
     model = learn(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")

@@ -150,10 +150,66 @@ def test_language_probabilities_sum_to_one():
     k, c = np.unique(g, return_counts=True)
     m = langid.Model({"x": (k, c)})
     prefix, total = langid.symbols("abr")[:-1], 0.0
-    for s in {*langid.symbols("abcdr").tolist()}:
+    for s in {*langid.symbols("abcdrz").tolist()}:  # z stands for all that was not seen
         code = np.array([(int(prefix[1]) << 48) | (int(prefix[2]) << 32) | (int(prefix[3]) << 16) | s], np.uint64)
         total += math.exp(-m.entropies(code)[0])
-    assert 0.75 < total <= 1.0 + 1e-6
+    assert math.isclose(total, 1.0, rel_tol=1e-5)
+
+
+def plain_kneser_ney(text, size):
+    """Log-probabilities of the symbols of a text under a model of dictionaries, by the definition."""
+
+    def sequence(t):
+        return [0, 0, 0, *langid.symbols(t).tolist()][1:]
+
+    def learn(train):
+        s = sequence(train)
+        full = Counter(tuple(s[i : i + 4]) for i in range(len(s) - 3))
+        levels = [full]
+        for o in (3, 2, 1):
+            levels.append(Counter(x[-o:] for x in {y[-o - 1 :] for y in levels[-1]}))
+        return levels
+
+    def p(levels, gram):
+        if not gram:
+            return 1 / (size + 1)
+        table = levels[4 - len(gram)]
+        same = {g: n for g, n in table.items() if g[:-1] == gram[:-1]}
+        below = p(levels, gram[1:])
+        if not same:
+            return below
+        return max(table.get(gram, 0) - langid.DISCOUNT, 0) / sum(same.values()) + langid.DISCOUNT * len(same) / sum(same.values()) * below
+
+    levels = learn(text[0])
+    s = sequence(text[1])
+    return [math.log(p(levels, tuple(s[i : i + 4]))) for i in range(len(s) - 3)]
+
+
+@pytest.mark.parametrize("block", [1, 64])
+def test_language_models_are_those_of_plain_dictionaries(block):
+    train = {"x": "the cat sat on the mat, the hat that sat", "y": "la tête à Toto est à côté"}
+    model = langid.Model({k: np.unique(langid.grams(langid.symbols(t)), return_counts=True) for k, t in train.items()}, block)
+    for text in ("that cat zed", "tête à tête", "q"):
+        got = model.entropies(langid.grams(langid.symbols(text)))
+        size = len({x for t in train.values() for x in langid.symbols(t).tolist()[1:]})
+        for h, lang in zip(got, model.languages, strict=True):
+            want = plain_kneser_ney((train[lang], text), size)
+            assert math.isclose(h, -sum(want) / len(want), rel_tol=1e-5), (text, lang)
+
+
+def test_letters_beyond_the_basic_plane(spark):
+    s = langid.symbols("\U00010400\U0001e922 \U00010100 \U0001f600")
+    assert len(s) == 4 and s[0] == s[-1] == 32 and len(langid.symbols("\U00010100\U0001f600")) == 0
+    assert langid.tail_limit([2.0]) > 2.0 and langid.tail_limit(sorted((i / 100 for i in range(100)), reverse=True)) > 0.99
+
+
+def test_many_languages_have_no_limit(spark):
+    names = [f"l{i:03}" for i in range(300)]
+    word = lambda i, j: "".join(chr(0x4E00 + 40 * i + (7 * j + k) % 40) for k in range(4))
+    d = spark.createDataFrame([(1000 * i + j, " ".join(word(i, j + k) for k in range(6)), n) for i, n in enumerate(names) for j in range(4)], "doc_id long, text string, lang string")
+    model = langid.learn(d)
+    got = langid.identify(d.unionAll(d.limit(5)), model).join(d.distinct(), "doc_id")
+    assert len(model.languages) > 256 and len(model.blocks) > 4 and got.where("lang = lang_pred").count() > 0.95 * 1200
 
 
 @pytest.mark.parametrize(("keep", "hot"), [("none", 20_000), ("none", 1), ("first", 20_000), ("first", 1)])
