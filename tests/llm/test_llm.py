@@ -342,10 +342,75 @@ def test_personal_data(spark, docs, rows, none):
     assert pii.find_pii(none).count() == 0 and pii.find_pii(docs).count() == len(rows)
 
 
+def plain_pii(t):
+    """Base spans by the wording of the contract."""
+    luhn = lambda d: sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+    only = lambda m: "".join(c for c in m if c in "0123456789")
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(only(m)) <= 19 and luhn(only(m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(only(m)) <= 15),
+    }
+    return [(k, *m.span()) for k, (p, ok) in kinds.items() for m in re.finditer(p, t) if ok(m[0])]
+
+
+def test_base_spans_of_personal_data_are_those_of_the_contract(spark):
+    rng = random.Random(11)
+    parts = ["4111 1111 1111 1111", "4111-1111-1111-1112", "1.2.3.4", "300.1.1.1", "a.b@c.de", "x@y", "@", "+49 (30) 123-4567", "+1", ".", "..", "-", " ", "é", "\n", "7", "12", "345.6", "0000", "a", "+", "(", "ü@b.c", "%"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(400)] + ["7 " * 3000, "a@b.c " * 2000, "1.2.3.4 " * 1500]
+    got = by_id(pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)))
+    for i, t in enumerate(texts):
+        assert [(x["name"], x.start, x.end) for x in got[i].base] == plain_pii(t), t[:200]
+        spans = sorted((x.start, x.end) for x in [*got[i].base, *got[i].added] if x in got[i].added)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_planted_personal_data_is_added(spark):
+    """Long numbers that fail Luhn beside other personal data are found; versions, years and plain texts are left alone."""
+    rng = random.Random(5)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    say = lambda: " ".join(rng.choice(["the", "of", "and", "on", "in"]) for _ in range(rng.randint(3, 9)))
+    rows, planted = [], set()
+    for i in range(600):
+        if i % 3:
+            rows.append((i, f"{say()} version {rng.randint(1, 9)}.{rng.randint(0, 9)} {say()} {rng.randint(1900, 2030)} {say()}"))
+            continue
+        number = digits(16)
+        rows.append((i, f"{say()} user{i}@mail.example.com {say()} {rng.randint(1, 255)}.1.2.3 {say()} {number} {say()}"))
+        if not plain_pii(number):
+            planted.add((i, number))
+    t = dict(rows)
+    found = {(r.doc_id, t[r.doc_id][x.start : x.end]) for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect() for x in r.added}
+    assert len(found & planted) >= 0.95 * len(planted) and len(found & planted) >= 0.9 * len(found)
+
+
 def test_trees_tell_vectors_apart():
-    table = [((0, 1, 2, 0, 0, 0, 0), 90.0, 100.0), ((1, 4, 2, 0, 0, 1, 0), 2.0, 100.0), ((1, 4, 2, 0, 1, 0, 0), 95.0, 100.0)]
-    m = pii.Trees(table)
-    assert m.trees and 0 < m.threshold <= 0.5 and pii.Trees([]).trees == []
+    good, bad = (5, 2, 0, 0, 0, 0, 0, 0, 1, 0, 2), (2, 0, 0, 1, 0, 0, 0, 0, 0, 1, 0)
+    m = pii.Trees([(good, 90.0, 100.0), (bad, 2.0, 100.0)])
+    assert m.probability(good) > 0.8 > 0.2 > m.probability(bad) and m.threshold > 1
+    m.calibrate([(good, 98.0, 100.0), (bad, 0.0, 50.0)])
+    assert m.probability(bad) < m.threshold <= m.probability(good)
+    m.calibrate([(good, 50.0, 100.0), (bad, 0.0, 50.0)])
+    assert m.threshold > 1 and pii.Trees([]).trees == []
+
+
+def plain_secrets(t):
+    """Base spans by the wording of the contract."""
+    kinds = {
+        "assign": (r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+        "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    }
+    return sorted(((k, *m.span()) for k, (p, ok) in kinds.items() for m in re.finditer(p, t) if ok(m)), key=lambda x: (x[1], list(kinds).index(x[0])))
+
+
+def test_base_spans_of_secrets_are_those_of_the_contract():
+    rng = random.Random(12)
+    parts = ["password", "Secret", "API_KEY", "apikey", "token", "=", ":", ": ", '"', "'", " ", "abc123", "hunter2!", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789ab", "deadbeef", "g", "\n", "ſecret", "K", "#", "//", "+", "x"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        assert [x for x in secrets.spans_of(t) if x[0] != "literal"] == plain_secrets(t), t
 
 
 def test_queries_run_and_pipeline_keeps_its_columns(spark):
