@@ -1,14 +1,18 @@
 """Secret scan by assignment-aware lexing.
 
-Three base rules find their kinds wherever they stand. The method adds to them: a lexer reads source and configuration
-syntax (`name = literal`, `name: literal`, `"name": "literal"`, `name := literal`, `name => literal`, `export NAME=x`)
-into name-literal pairs; a literal that a name was bound to is carried to later uses of that name (`b = a`, `${a}`,
-`"x" + a`); each literal is scored by how sensitive the name it ends up under is and by its own shape, and literals that
-score enough become spans of kind `literal`. The pieces of a concatenation are scored each and joined; what passes joined
-gives a span for each of its pieces, and the name carries them all.
+Three base rules find their kinds wherever they stand. The method adds to them. A lexer goes once over the text and knows
+comments (`#`, `//`, `/* */`, `<!-- -->`), braces, elements (`<name>literal</name>`) and assignments (`name = literal`,
+`name: literal`, `"name": "literal"`, `name := literal`, `name => literal`, `name += literal`, `export NAME=x`); a comparison
+(`==`, `!=`, `<=`, `>=`) is none. So it reads source and configuration syntax into name-literal pairs. A literal that a name
+was bound to is carried to later uses of that name (`b = a`, `${a}`, `"x" + a`), within the braces in which it was bound and
+in those inside them; what comments bind holds in the comment alone. Each literal is scored by how sensitive the name it
+ends up under is and by its own shape, and literals that score enough become spans of kind `literal`. The pieces of a
+concatenation, over line ends too, are scored each and joined; what passes joined gives a span for each of its pieces, and
+the name carries them all.
 
 Defined cases: a null or empty text has no spans; equal spans of different kinds stay apart; repeated rows are judged
-each on their own; a literal counts once in a joined value, whatever the number of its uses. Offsets are code points, end exclusive.
+each on their own; a literal counts once in a joined value, whatever the number of its uses; a closing brace without an open
+one is nothing; an empty table gives no rows; other columns play no part. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -29,8 +33,16 @@ THRESHOLD = 2.0
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-#: name, operator, then a quoted literal or a bare one up to a separator.
-_PAIR = re.compile(r"""(?<![A-Za-z0-9_.$-])["']?([A-Za-z_][A-Za-z0-9_.-]*+)["']?[\x20\t]*+(?::=|=>|==?|:(?!//))[\x20\t]*+(?:"([^"\n\\]*(?:\\.[^"\n\\]*)*)"|'([^'\n\\]*(?:\\.[^'\n\\]*)*)'|`([^`\n]*)`|([^\s"'`,;(){}\[\]<>]++))((?:[\x20\t]*\+[\x20\t]*(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z_][A-Za-z0-9_.]*+))*)""", re.A)
+#: Comments, braces, elements, or a name, an operator of assignment and a quoted literal or a bare one up to a separator, with what is added to it.
+_TOKEN = re.compile(
+    r"""(?P<comment>(?:(?<![^\s;])\#|(?<![:\w])//)[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?|<!--(?:[^-]|-(?!->))*+(?:-->)?)
+    |(?P<open>\{)|(?P<close>\})
+    |<(?P<tag>[A-Za-z_][A-Za-z0-9_.-]*+)(?:[\x20\t][^<>\n]*+)?>(?P<inner>[^<>\n]++)(?=</)
+    |(?<![A-Za-z0-9_.$-])["']?(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["']?[\x20\t]*+(?P<op>:=|=>|\+=|=(?![=~])|:(?![/:]))[\x20\t]*+
+      (?:"(?P<double>[^"\n\\]*+(?:\\.[^"\n\\]*+)*+)"|'(?P<single>[^'\n\\]*+(?:\\.[^'\n\\]*+)*+)'|`(?P<back>[^`\n]*+)`|(?P<bare>\$\{[A-Za-z_][A-Za-z0-9_.]*+\}|[^\s"'`,;(){}\[\]<>]++))
+      (?P<more>(?:\s*+\+\s*+(?:"[^"\n]*+"|'[^'\n]*+'|[A-Za-z_][A-Za-z0-9_.]*+))*+)""",
+    re.A | re.X,
+)
 _PART = re.compile(r"""["']([^"'\n]*)["']|([A-Za-z_][A-Za-z0-9_.]*)""", re.A)
 _REFERENCE = re.compile(r"^(?:\$\{?|%|#\{|\{\{\s*)?([A-Za-z_][A-Za-z0-9_.]*)(?:\}|%|\}\})?$", re.A)
 #: Weights of the parts of a name.
@@ -55,31 +67,44 @@ def literal_score(value: str) -> float:
     return min(bits / 4.0, 1.0) + 0.25 * (classes - 1) - (0.7 if classes == 1 else 0.0)
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+def pairs(text: str, start: int = 0, end: int | None = None) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
     """Name and the pieces of its value, literals and where they stand, constants carried along: each piece, then all if joined."""
-    bound: dict[str, list[tuple[str, int, int]]] = {}
-    for m in _PAIR.finditer(text):
-        name = m[1]
-        k = next(i for i in (2, 3, 4, 5) if m[i] is not None)
-        first = [(m[k], *m.span(k))]
-        ref = _REFERENCE.match(m[k]) if k == 5 or m[k][:1] in "$%#{" else None
-        if ref and ref[1] in bound:
-            first = bound[ref[1]]
-        # A bare word before a plus is a name of which nothing is known: it is no part of what is joined.
-        joined = [] if ref and ref[1] not in bound and m[6] else list(first)
-        yield name, first
-        for p in _PART.finditer(text, *m.span(6)):
-            if p[1] is not None:
-                piece = [(p[1], *p.span(1))]
-            elif p[2] in bound:
-                piece = bound[p[2]]
-            else:
-                continue
-            joined += piece
-            yield name, piece
-        bound[name] = list(dict.fromkeys(joined)) or first
-        if len(bound[name]) > 1:
-            yield name, bound[name]
+    scopes: list[dict[str, list[tuple[str, int, int]]]] = [{}]
+
+    def known(name: str) -> list[tuple[str, int, int]] | None:
+        return next((s[name] for s in reversed(scopes) if name in s), None)
+
+    for m in _TOKEN.finditer(text, start, len(text) if end is None else end):
+        if m["comment"] is not None:
+            if m.start() > start or end is None:  # else it is the comment that is being read
+                yield from pairs(text, m.start() + 1, m.end())
+        elif m["open"]:
+            scopes.append({})
+        elif m["close"]:
+            if len(scopes) > 1:
+                scopes.pop()
+        elif m["tag"]:
+            yield m["tag"], [(m["inner"], *m.span("inner"))]
+        else:
+            name = m["name"]
+            kind = next(k for k in ("double", "single", "back", "bare") if m[k] is not None)
+            value = m[kind]
+            ref = _REFERENCE.match(value) if kind == "bare" or value[:1] in "$%#{" else None
+            carried = known(ref[1]) if ref else None
+            first = carried or [(value, *m.span(kind))]
+            # A bare word before a plus is a name of which nothing is known: it is no part of what is joined.
+            joined = [] if ref and carried is None and m["more"] else list(first)
+            if m["op"] == "+=":
+                joined = [*(known(name) or []), *joined]
+            yield name, first
+            for p in _PART.finditer(text, *m.span("more")):
+                piece = [(p[1], *p.span(1))] if p[1] is not None else known(p[2])
+                if piece:
+                    joined += piece
+                    yield name, piece
+            scopes[-1][name] = list(dict.fromkeys(joined)) or first
+            if len(scopes[-1][name]) > 1:
+                yield name, scopes[-1][name]
 
 
 def spans_of(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
@@ -89,7 +114,7 @@ def spans_of(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str,
     found = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    if "=" in text or ":" in text:
+    if "=" in text or ":" in text or "</" in text:
         sensitive = ((n, some) for name, pieces in pairs(text) if (n := name_score(name)) >= 1.0 for some in (pieces, *([p] for p in pieces if len(pieces) > 1)))
         extra = {(start, end) for n, some in sensitive if n + literal_score("".join(p[0] for p in some)) >= threshold for _, start, end in some if end > start}
         found += [("literal", s, e) for s, e in extra]
@@ -109,6 +134,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and all spans of all documents, null texts as empty."""
+
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 

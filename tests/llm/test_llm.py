@@ -395,6 +395,28 @@ def test_trees_tell_vectors_apart():
     assert m.threshold > 1 and pii.Trees([]).trees == []
 
 
+LEXED = [
+    ('if password == user_input123:', []),
+    ('a = "Qx7!mZ" + "p9Lw2Kd8"\nclient_token = a', ["Qx7!mZ", "p9Lw2Kd8"]),
+    ('client_token = "Qx7!mZ" +\n  "p9Lw2Kd8"', ["Qx7!mZ", "p9Lw2Kd8"]),
+    ('k = "Qx7!mZp9Lw2K"\n{ k = "nothing" }\nsecret_key = k', ["Qx7!mZp9Lw2K"]),
+    ('{ k = "Qx7!mZp9Lw2K" }\nsecret_key = k', []),
+    ('# k = "Qx7!mZp9Lw2K"\nsecret_key = k', []),
+    ('// old_password = "Qx7!mZp9Lw2K"', ["Qx7!mZp9Lw2K"]),
+    ('/* db_password: "Qx7!mZp9Lw2K" */ x = 1', ["Qx7!mZp9Lw2K"]),
+    ("<dbPassword>Qx7!mZp9Lw2K</dbPassword>", ["Qx7!mZp9Lw2K"]),
+    ('base = "Qx7!mZp9Lw2K"\napi_secret = ${base}', ["Qx7!mZp9Lw2K"]),
+    ('t = "Qx7!"\nt += "mZp9Lw2K"\nauth_token = t', ["Qx7!", "mZp9Lw2K"]),
+    ("see https://example.com/token: nothing", []),
+    ("}}}{{{", []),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), LEXED)
+def test_lexer_reads_assignments(text, want):
+    assert [text[s:e] for k, s, e in secrets.spans_of(text) if k == "literal"] == want
+
+
 def plain_secrets(t):
     """Base spans by the wording of the contract."""
     kinds = {
