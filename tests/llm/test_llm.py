@@ -260,6 +260,12 @@ def test_sources_meet_their_targets(spark, docs, rows, none):
         assert math.isclose(goal[s], want[s], rel_tol=1e-9) and abs(per[s] - goal[s]) <= 1
     assert sorted(map(tuple, mixing.mix(docs.repartition(5)).select("doc_id", "taken").collect())) == sorted((r.doc_id, r.taken) for r in out)
     assert mixing.mix(none).count() == 0
+    # Short documents get the extra copy more often than long ones; equal rows share what their rank gives.
+    sized = spark.createDataFrame([(i, "w " * (10 if i % 2 else 90), "abc"[i // 2 % 3], 1) for i in range(3000)] + [(2, "w " * 90, "b", 1)] * 2, "doc_id long, text string, source string, target long")
+    part = mixing.mix(sized).where("source = 'b'").collect()
+    assert len(part) == 1002 and abs(sum(r.taken for r in part) - round(part[0].target)) <= 1 and 0.6 < part[0].target / part[0].source_size < 0.9
+    share = lambda big: [r.taken / r.size for r in part if (r.size == 90) == big]
+    assert sum(share(False)) / len(share(False)) > sum(share(True)) / len(share(True)) + 0.05
 
 
 def test_contamination_is_that_of_plain_search(spark, docs, rows, none):
