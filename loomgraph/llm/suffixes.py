@@ -4,18 +4,22 @@ A text's windows of `window` bytes each have an anchor: the gram of `GRAM` bytes
 windows have equal anchors at equal places, so the windows of one anchor meet all their equals under the anchor's name.
 First only the names go out; those that occur once are dropped. Then each place of a shared anchor is sent with the bytes
 of its windows, and places meet under the name. There the suffixes from the anchors on are sorted into a suffix array,
-and so are the reversed texts before the anchors. Common prefixes of neighbours in both orders bound every match; the
-longest factors towards earlier (and, if all copies go, later) places come from the previous and next smaller places in
-suffix order, and places whose factors cannot reach a window are left. For each split of a window into bytes before and
-after the anchor, runs of suffix order with long enough common prefixes name the halves; places with the same pair of
-names hold the same window. Comparisons are of bytes, not of hashes.
-
-A name that occurs over `HOT` times is not brought to one task: each of its windows is counted by two 64-bit hashes in
-aggregations that combine before they shuffle.
+and so are the reversed texts before the anchors. In both orders the previous and next smaller places give each place's
+longest factor shared with an earlier place and, if all copies go, the same over falling places the longest one shared with
+a later place. These lengths bound every match of the place, and the places they are shared with are its matches: as far as
+their common bytes on both sides of the anchor reach, windows are repeated. Where no such match reaches as far as the
+bounds (one place shares more before the anchor, another more after it), the windows of that name are judged one by one: for
+each split of a window into bytes before and after the anchor, runs of suffix order with long enough common prefixes name
+the halves, and places with the same pair of names hold the same window. All comparisons are of bytes.
+
+A name that occurs over `HOT` times is not brought to one task: its windows are counted by two 64-bit hashes in aggregations
+that combine before they shuffle, and the least and greatest bytes of each pair of hashes tell whether all its windows are
+equal; a pair of hashes of unequal windows would be counted by the bytes themselves.
 
 keep="none" removes every byte of a window that starts anywhere else too; keep="first" keeps the earliest copy (by id,
 then position). Defined cases: null is empty; texts shorter than a window lose nothing; overlaps within one text count;
-rows with one id are taken to hold one text; rows with a null id neither lose nor match.
+rows with one id are taken to hold one text; rows with a null id neither lose nor match; an empty table gives no rows; other
+columns play no part.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.anchors import by_document, merged, mixed, pieces, runs, sliding_least, unpacked
-from loomgraph.llm.common import encode, read, text_rows
+from loomgraph.llm.common import cut, encode, read, text_rows
 
 WINDOW, GRAM, HOT = 200, 32, 20_000
 #: Places that are worked on at a time, whole names only.
@@ -141,44 +145,76 @@ def _order(keys: np.ndarray, texts: list[bytes], width: int) -> tuple[np.ndarray
     return order, common
 
 
-def longest_previous(order: np.ndarray, common: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """For each text the longest prefix it shares with one of smaller place: to the previous and to the next smaller place in suffix order."""
-    out = np.zeros(len(order), np.int64)
-    for direction in (1, -1):
-        stack: list[list[int]] = []  # place and least common prefix since, places rising
-        for r in range(len(order)) if direction == 1 else range(len(order) - 1, -1, -1):
-            c = int(common[r]) if direction == 1 else int(common[r + 1]) if r + 1 < len(order) else -1
-            if c < 0:
+def longest_previous(order: np.ndarray, common: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the longest prefix it shares with one of smaller place, and which that is (-1: none): the previous and the next smaller place in suffix order."""
+    length, who = np.zeros(len(order), np.int64), np.full(len(order), -1, np.int64)
+    places, texts, shared = place[order].tolist(), order.tolist(), [*common.tolist(), -1]
+    for step in (1, -1):
+        stack: list[tuple[int, int, int]] = []  # place, text and least common prefix since the one below it, places rising
+        for r in range(len(texts)) if step == 1 else range(len(texts) - 1, -1, -1):
+            low = shared[r] if step == 1 else shared[r + 1]
+            if low < 0:
                 stack = []
-            p = int(place[order[r]])
-            low = c
+            p, i = places[r], texts[r]
             while stack and stack[-1][0] >= p:
-                low = min(low, stack.pop()[1])
-            if stack:
-                out[order[r]] = max(out[order[r]], low)
-            stack.append([p, low if stack else 1 << 60])
-    return out
+                low = min(low, stack.pop()[2])
+            if stack and (who[i] < 0 or low > length[i]):
+                length[i], who[i] = low, stack[-1][1]
+            stack.append((p, i, low))
+    return length, who
+
+
+def _matrix(texts: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(t[:width].ljust(width, b"\0") for t in texts), np.uint8).reshape(-1, width)
+
+
+def _shared_bytes(m: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    differ = m[i] != m[j]
+    return np.minimum(np.where(differ.any(1), differ.argmax(1), m.shape[1]), np.minimum(size[i], size[j]))
 
 
 def repeated_windows(names: np.ndarray, place: np.ndarray, off: np.ndarray, size: np.ndarray, texts: list[bytes], window: int, first: bool) -> list[tuple[int, int, int]]:
     """Index, first and last byte (end exclusive, in its bytes) of repeated windows; places are in ascending order of place."""
-    n = len(texts)
-    right, rc = _order(names, [t[o:] for t, o in zip(texts, off.tolist(), strict=True)], window)
-    left, lc = _order(names, [t[:o][::-1] for t, o in zip(texts, off.tolist(), strict=True)], window)
-    reach = np.zeros(n, np.int64)
-    for order, common in ((right, rc), (left, lc)):
-        if first:
-            reach += longest_previous(order, common, place)
-        else:  # previous and next places alike: the better neighbour
-            reach[order] += np.maximum(np.maximum(common, 0), np.append(np.maximum(common[1:], 0), 0))
-    alive = reach >= window
+    after = [t[o : o + window] for t, o in zip(texts, off.tolist(), strict=True)]
+    before = [t[max(0, o - window) : o][::-1] for t, o in zip(texts, off.tolist(), strict=True)]
+    right, rc = _order(names, after, window)
+    left, lc = _order(names, before, window)
+    factors = [[longest_previous(order, common, sign * place) for sign in ((1,) if first else (1, -1))] for order, common in ((right, rc), (left, lc))]
+    most_r, most_l = (np.max([f[0] for f in side], 0) for side in factors)
+    # Splits: how many bytes of a window stand before the anchor.
+    low, high = np.maximum(np.maximum(window - most_r, off - size + 1), 0), np.minimum(most_l, off)
+    alive = np.flatnonzero(low <= high)
     out: list[tuple[int, int, int]] = []
-    if not alive.any():
+    if not len(alive):
         return out
+    open_ = np.zeros(len(texts), bool)
+    open_[alive] = True
+    rm, lm, rs, ls = _matrix(after, window), _matrix(before, window), np.array([len(t) for t in after]), np.array([len(t) for t in before])
+    for who in (f[1] for side in factors for f in side):
+        i = alive[open_[alive]]
+        i = i[who[i] >= 0]
+        for at in range(0, len(i), 4096):
+            p = i[at : at + 4096]
+            q = who[p]
+            s, e = np.maximum(low[p], window - _shared_bytes(rm, rs, p, q)), np.minimum(high[p], _shared_bytes(lm, ls, p, q))
+            hit = s <= e
+            out += zip(p[hit].tolist(), (off[p] - e)[hit].tolist(), (off[p] - s + window)[hit].tolist(), strict=True)
+            open_[p[hit & (s == low[p]) & (e == high[p])]] = False
+    if open_.any():
+        part = np.flatnonzero(np.isin(names, names[open_]))
+        out += _one_by_one(names[part], off[part], size[part], [after[i] for i in part], [before[i] for i in part], window, first, open_[part], part)
+    return out
+
+
+def _one_by_one(names, off, size, after, before, window: int, first: bool, wanted: np.ndarray, index: np.ndarray) -> list[tuple[int, int, int]]:
+    """The same for the wanted places, each split of the window by itself."""
+    n = len(after)
+    right, rc = _order(names, after, window)
+    left, lc = _order(names, before, window)
     found = []
     half_r, half_l = np.empty(n, np.int64), np.empty(n, np.int64)
     for s in range(int(off.max()) + 1):  # bytes of the window before the anchor
-        valid = np.flatnonzero((off - s >= 0) & (off - s < size) & ((alive) | first))
+        valid = np.flatnonzero((off - s >= 0) & (off - s < size))
         if not len(valid):
             continue
         half_r[right] = np.cumsum(rc < window - s)
@@ -192,15 +228,16 @@ def repeated_windows(names: np.ndarray, place: np.ndarray, off: np.ndarray, size
         if not first:
             again[:-1] |= same
         hit = valid[o[again]]
+        hit = hit[wanted[hit]]
         found.append(np.stack((hit, off[hit] - s), 1))
-    if not found:
-        return out
-    hits = np.concatenate(found)
+    hits = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    if not len(hits):
+        return []
     hits = hits[np.lexsort((hits[:, 1], hits[:, 0]))]
     new = np.concatenate(([True], (hits[1:, 0] != hits[:-1, 0]) | (hits[1:, 1] > hits[:-1, 1] + window)))
     lead = np.flatnonzero(new)
     trail = np.concatenate((lead[1:], [len(hits)])) - 1
-    return list(zip(hits[lead, 0].tolist(), hits[lead, 1].tolist(), (hits[trail, 1] + window).tolist(), strict=True))
+    return list(zip(index[hits[lead, 0]].tolist(), hits[lead, 1].tolist(), (hits[trail, 1] + window).tolist(), strict=True))
 
 
 def _cold(around: DataFrame, window: int, first: bool) -> DataFrame:
@@ -232,19 +269,30 @@ def _cold(around: DataFrame, window: int, first: bool) -> DataFrame:
 
 
 def _hot(around: DataFrame, window: int, first: bool) -> DataFrame:
-    """doc, span for the windows of hot anchors, counted by hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, at, raw in zip(*(b.column(k).to_pylist() for k in (1, 2, 5)), strict=True):
-                t = np.frombuffer(raw, np.uint8)
-                h = hashes(t, window)
-                g = hashes(t[::-1], window)[::-1]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(np.full(len(h), doc, np.int64)), pa.array(np.arange(at, at + len(h)))], names=["h", "g", "doc", "at"])
-
-    w = around.mapInArrow(run, "h long, g long, doc long, at long")
-    many = w.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("lead")).where("n > 1").withColumnsRenamed({"h": "h2", "g": "g2"})
-    hit = w.join(many, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")))
+    """doc, span for the windows of hot anchors, counted by hash and told apart by their bytes."""
+
+    def windows(whole: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for doc, at, raw in zip(*(b.column(k).to_pylist() for k in (1, 2, 5)), strict=True):
+                    t = np.frombuffer(raw, np.uint8)
+                    h = hashes(t, window)
+                    g = hashes(t[::-1], window)[::-1]
+                    cols = [pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(np.full(len(h), doc, np.int64)), pa.array(np.arange(at, at + len(h)))]
+                    if whole:
+                        cols.append(pa.array([raw[i : i + window] for i in range(len(h))], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(cols, names=["h", "g", "doc", "at", "bytes"][: len(cols)])
+
+        return around.mapInArrow(run, "h long, g long, doc long, at long" + ", bytes binary" * whole)
+
+    counted = windows(True).groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("lead"), F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("n > 1")
+    many = cut(counted.select(F.col("h").alias("h2"), F.col("g").alias("g2"), "n", "lead", (F.col("lo") != F.col("hi")).alias("mixed")))
+    at = (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2"))
+    hit = windows(False).join(many.where("not mixed"), at).select("doc", "at", "lead")
+    if many.where("mixed").limit(1).count():
+        unlike = windows(True).join(many.where("mixed").select("h2", "g2"), at)
+        same = unlike.groupBy("bytes").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("lead")).where("n > 1")
+        hit = hit.unionByName(unlike.join(same, "bytes").select("doc", "at", "lead"))
     hit = hit.where(F.struct("doc", "at") > F.col("lead")) if first else hit
     return hit.select("doc", F.shiftleft("at", 32).bitwiseOR(F.col("at") + window).alias("span"))
 
@@ -289,4 +337,5 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed bytes and what stays of all documents; all copies go. Null texts are empty."""
     return dedup_bytes(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

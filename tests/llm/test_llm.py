@@ -233,7 +233,47 @@ def test_bytes_are_removed_as_by_brute_force(docs, rows, none, keep, hot):
 def test_longest_previous_factors():
     t = [b"abcx", b"abd", b"abcy", b"q"]
     order, common = suffixes._order(np.zeros(4, np.int64), t, 10)
-    assert suffixes.longest_previous(order, common, np.arange(4)).tolist() == [0, 2, 3, 0]
+    length, who = suffixes.longest_previous(order, common, np.arange(4))
+    assert (length.tolist(), who[:3].tolist()) == ([0, 2, 3, 0], [-1, 0, 0])
+    rng = random.Random(8)
+    t = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 9))).encode() for _ in range(200)]
+    keys = np.array([rng.randrange(3) for _ in t])
+    order, common = suffixes._order(keys, t, 9)
+    same = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    for sign in (1, -1):
+        length, who = suffixes.longest_previous(order, common, sign * np.arange(200))
+        for i in range(200):
+            want = [same(t[i], t[j]) for j in range(200) if keys[j] == keys[i] and sign * j < sign * i]
+            assert length[i] == max(want, default=0) and (who[i] < 0) == (not want) and (who[i] < 0 or same(t[i], t[who[i]]) == length[i])
+
+
+def test_factors_decide_the_matches(monkeypatch):
+    rng = random.Random(9)
+    say = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    core, t = say(100), []
+    for _ in range(30):
+        t.append(say(20) + core + say(20))
+    args = (np.zeros(30, np.int64), np.arange(30), np.full(30, 60), np.full(30, 30), t, 80, False)
+    want = {(i, k) for i, s, e in suffixes.repeated_windows(*args) for k in range(s, e)}
+    assert {i for i, _ in want} == set(range(30)) and all(10 <= k < 130 for _, k in want)
+    monkeypatch.setattr(suffixes, "longest_previous", lambda o, c, p: (np.zeros(len(o), np.int64), np.full(len(o), -1)))
+    assert suffixes.repeated_windows(*args) == []
+
+
+def test_bytes_at_the_full_window(spark, none):
+    """At 200 bytes, with passages that share more before an anchor with one text and more after it with another."""
+    rng = random.Random(10)
+    say = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    a, b = say(400), say(400)
+    texts = [say(50) + a + say(30), a[:250] + b[:220], say(10) + a[150:] + b[:150], b + a[:199], a[100:310], say(90) + b[20:230] + say(9), a, a, None, "", "x" * 450, say(700)]
+    text = {i: (t or "").encode() for i, t in enumerate(texts)}
+    count = Counter(x[j : j + 200] for x in text.values() for j in range(len(x) - 199))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (20_000, 1):
+        got = by_id(suffixes.dedup_bytes(d, hot=hot))
+        for i, x in text.items():
+            gone = {k for j in range(len(x) - 199) if count[x[j : j + 200]] > 1 for k in range(j, j + 200)}
+            assert (got[i].n_removed, bytes(got[i].kept)) == (len(gone), bytes(v for k, v in enumerate(x) if k not in gone)), (i, hot)
 
 
 def test_sources_meet_their_targets(spark, docs, rows, none):
