@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.common import cut
@@ -93,7 +93,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, direction: str = "
     spark = edges.sparkSession
     if direction == "both":
         raise ValueError("a path has a direction")
-    seen, _ = bfs(edges, spark.createDataFrame([(source,)], "node_key string"), direction, max_depth)
+    seen, _ = bfs(edges, spark.createDataFrame([(source,)], "node_key string"), direction, max_depth, max_nodes=1 << 60)
     conf = directed(edges, direction).groupBy("at", "other", "kind").agg(F.max("confidence").alias("c"))
     walk = spark.createDataFrame([(target, 0)], "at_node string, back int")
     steps = None
@@ -107,6 +107,11 @@ def shortest_path(edges: DataFrame, source: str, target: str, direction: str = "
     return steps.join(conf.withColumnRenamed("kind", "k"), (F.col("from") == F.col("at")) & (F.col("to") == F.col("other")) & (F.col("kind") == F.col("k"))).select("step", "from", "kind", "to", F.col("c").alias("confidence"))
 
 
+def path_confidence(steps: Column) -> Column:
+    """The least confidence of a way's steps; 1000 for a way without steps."""
+    return F.coalesce(F.array_min(steps), F.lit(1000))
+
+
 def all_paths(edges: DataFrame, source: str, target: str, max_depth: int = 4, max_paths: int = 10) -> DataFrame:
     """Simple paths as arrays of nodes, fewest hops and then smallest first; of parallel edges the most confident counts."""
     best = edges.groupBy("source", "target").agg(F.max("confidence").alias("confidence"))

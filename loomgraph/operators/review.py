@@ -18,13 +18,16 @@ LEVELS = ("low", "medium", "high", "critical")
 LEAST_SCORE = (0.0, 0.25, 0.5, 0.75)
 # Rule, category, weight, floor level.
 RULES = (
-    ("path.auth", "authentication", 0.5, None), ("path.infra", "dependency_updates", 0.3, None), ("dep.added", "dependency_updates", 0.3, None), ("dep.major_bump", "dependency_updates", 0.45, None),
-    ("dep.prerelease", "dependency_updates", 0.4, None), ("dep.removed", "dependency_updates", 0.25, None), ("dep.lock_drift", "dependency_updates", 0.2, None), ("migration.destructive", "database_migrations", 0.75, "high"),
-    ("migration.edited_existing", "database_migrations", 0.7, None), ("secrets.literal_added", "secrets", 0.9, "critical"), ("secrets.env_file", "secrets", 0.8, None), ("authz.call_removed", "authorization", 0.85, "high"),
-    ("authz.direct_role_check", "authorization", 0.6, None), ("authz.guard_removed", "authorization", 0.85, "high"), ("authz.guard_added", "authorization", 0.4, None), ("validation.removed", "validation", 0.65, None),
-    ("db.write_changed", "schema_changes", 0.4, None), ("db.write_changed_in_tx", "transaction_boundaries", 0.45, None), ("tx.boundary_changed", "transaction_boundaries", 0.6, None), ("api.breaking_change", "public_api_contracts", 0.6, None),
-    ("api.additive_change", "public_api_contracts", 0.35, None), ("async.floating_promise", "concurrency", 0.5, None), ("endpoint.reachable", "public_api_contracts", 0.3, None), ("queue.produce_changed", "queues", 0.45, None),
-    ("queue.consume_changed", "background_jobs", 0.45, None), ("external.call_added", "external_network_calls", 0.4, None), ("fs.access_changed", "filesystem_access", 0.4, None),
+    ("path.configured", "authentication", 0.8, None), ("path.auth", "authentication", 0.5, None), ("path.migrations", "database_migrations", 0.55, None), ("path.payments", "payments", 0.65, None),
+    ("path.infra", "dependency_updates", 0.3, None), ("dep.added", "dependency_updates", 0.3, None), ("dep.major_bump", "dependency_updates", 0.45, None), ("dep.prerelease", "dependency_updates", 0.4, None),
+    ("dep.removed", "dependency_updates", 0.25, None), ("dep.lock_drift", "dependency_updates", 0.2, None), ("migration.added", "database_migrations", 0.55, None), ("migration.destructive", "database_migrations", 0.75, "high"),
+    ("migration.edited_existing", "database_migrations", 0.7, None), ("schema.entity_changed", "schema_changes", 0.5, None), ("secrets.literal_added", "secrets", 0.9, "critical"), ("secrets.env_file", "secrets", 0.8, None),
+    ("authz.call_removed", "authorization", 0.85, "high"), ("authz.direct_role_check", "authorization", 0.6, None), ("authz.guard_removed", "authorization", 0.85, "high"), ("authz.guard_added", "authorization", 0.4, None),
+    ("authz.logic_changed", "authorization", 0.7, None), ("validation.removed", "validation", 0.65, None), ("db.write_changed", "schema_changes", 0.4, None), ("db.write_changed_in_tx", "transaction_boundaries", 0.45, None),
+    ("tx.boundary_changed", "transaction_boundaries", 0.6, None), ("api.breaking_change", "public_api_contracts", 0.6, None), ("api.additive_change", "public_api_contracts", 0.35, None), ("async.floating_promise", "concurrency", 0.5, None),
+    ("endpoint.reachable", "public_api_contracts", 0.3, None), ("queue.produce_changed", "queues", 0.45, None), ("queue.consume_changed", "background_jobs", 0.45, None), ("external.call_added", "external_network_calls", 0.4, None),
+    ("fs.access_changed", "filesystem_access", 0.4, None), ("crypto.changed", "cryptography", 0.6, None), ("auth.jwt_verify_removed", "authentication", 0.8, "high"), ("auth.authn_changed", "authentication", 0.7, None),
+    ("serialization.changed", "serialization", 0.4, None), ("payments.changed", "payments", 0.65, None), ("concurrency.shared_state", "concurrency", 0.45, None),
 )
 
 
@@ -97,41 +100,48 @@ def context_gate(distance: Column, score: Column, strong: Column, on_path: Colum
     )
 
 
+# Pinned items come by kind in this order, other kinds after them.
+PINNED_KINDS = ("changed_symbol", "class_signature")
+
+
 def select_greedy(items: DataFrame, keys: Sequence[str], budget: int, caps: dict[str, int]) -> DataFrame:
-    """keys, item, taken (tokens or null), reason: pinned first, then by score per token; category caps; a cheaper form where it fits.
+    """keys, item, taken (tokens or null), reason of items (keys, item, score, tokens, cheaper_tokens, pinned, category and, if given, kind). Pinned items come first, by kind, falling score and id, then the rest by falling score per token, falling score and id; items that would pass a category's cap or the budget are left out and take nothing of either; a cheaper form is taken where only it fits, if the item is pinned or scores 0.5.
 
     One group is one reviewer's package for one cluster, whose size the caps of candidates bound; it is an ordered array
     that is folded as a whole, a batch of groups at a time.
     """
 
-    def fold(groups: pd.Series) -> pd.Series:
-        done = []
-        for group in groups:
-            used, counts, out = 0, {}, []
-            for r in group:
-                n = counts.get(r["category"], 0)
-                if n >= caps.get(r["category"], 1 << 30):
-                    out.append({"item": r["item"], "taken": None, "reason": "count"})
-                    continue
-                cheaper = r["cheaper_tokens"]
-                if used + r["tokens"] <= budget:
-                    cost = r["tokens"]
-                elif cheaper is not None and (r["pinned"] or -r["s"] >= 0.5) and used + cheaper <= budget:
-                    cost = cheaper
-                else:
-                    out.append({"item": r["item"], "taken": None, "reason": "tokens"})
-                    continue
-                used, counts[r["category"]] = used + cost, n + 1
-                out.append({"item": r["item"], "taken": int(cost), "reason": "selected"})
-            done.append(out)
-        return pd.Series(done)
+    def one(group) -> list[dict]:
+        room, left, out = budget, dict(caps), []
+        for r in group:
+            forms = [r["tokens"]] + ([r["cheaper_tokens"]] if r["cheaper_tokens"] is not None and (r["pinned"] or r["score"] >= 0.5) else [])
+            cost = next((t for t in forms if t <= room), None)
+            reason = "count" if left.get(r["category"], 1) <= 0 else "tokens" if cost is None else "selected"
+            if reason == "selected":
+                room -= cost
+                if r["category"] in left:
+                    left[r["category"]] -= 1
+            out.append({"item": r["item"], "taken": int(cost) if reason == "selected" else None, "reason": reason})
+        return out
 
     kind = items.schema["item"].dataType.simpleString()
-    run = F.pandas_udf(fold, f"array<struct<item:{kind},taken:bigint,reason:string>>")
-    order = F.struct((~F.col("pinned")).alias("rest"), (-F.col("score") / F.greatest("tokens", F.lit(1))).alias("r"), (-F.col("score")).alias("s"), "item", "tokens", "cheaper_tokens", "pinned", "category")
+    run = _folded(one, f"array<struct<item:{kind},taken:bigint,reason:string>>")
+    rank = F.array_position(F.array(*map(F.lit, PINNED_KINDS)), F.col("kind") if "kind" in items.columns else F.lit(""))
+    first = F.when(F.col("pinned"), F.when(rank > 0, rank).otherwise(len(PINNED_KINDS) + 1)).otherwise(len(PINNED_KINDS) + 2)
+    ratio = F.when(F.col("pinned"), 0.0).otherwise(-F.col("score") / F.greatest("tokens", F.lit(1)))
+    order = F.struct(first.alias("first"), ratio.alias("r"), (-F.col("score")).alias("s"), "item", "tokens", "cheaper_tokens", "pinned", "category", "score")
     return items.groupBy(*keys).agg(F.sort_array(F.collect_list(order)).alias("g")).select(*keys, F.explode(run("g")).alias("x")).select("x.item", "x.taken", "x.reason", *keys)
 
 
+def _folded(one, schema: str):
+    """A fold of one array as a function of a column of arrays."""
+
+    def fold(groups: pd.Series) -> pd.Series:
+        return pd.Series([one(g) for g in groups])
+
+    return F.pandas_udf(fold, schema)
+
+
 def similar_sets(sets: DataFrame, keys: Sequence[str], col: str, least: float) -> DataFrame:
     """keys, x, y: unlike sets (distinct rows of keys and col, a sorted array) of equal keys with a Jaccard similarity of `least` or more. They meet by one of their rarest elements: of n, all but the last ceil(least * n) - 1."""
     sets = sets.select(*keys, col)

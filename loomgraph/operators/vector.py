@@ -27,16 +27,17 @@ def recall_at_k(truth: Column, got: Column) -> Column:
     return F.when(F.size(truth) == 0, 1.0).otherwise(F.size(F.array_intersect(truth, got)) / F.size(truth))
 
 
-def feature_buckets(tokens: Column, dims: int) -> Column:
-    """Signed (1 + ln tf) weights of words and neighbouring pairs by bucket of their md5, as a map."""
+def features(tokens: Column) -> Column:
+    """The features of a text: its words, its neighbouring pairs and the character trigrams of its words."""
     pairs = F.zip_with(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.concat(F.lit("b:"), a, F.lit(" "), b))
-    return F.concat(F.transform(tokens, lambda t: F.concat(F.lit("u:"), t)), pairs)
+    thirds = F.flatten(F.transform(F.filter(tokens, lambda t: F.length(t) >= 3), lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.concat(F.lit("t:"), F.substr(t, i, F.lit(3))))))
+    return F.concat(F.transform(tokens, lambda t: F.concat(F.lit("u:"), t)), pairs, thirds)
 
 
 def embed(docs: DataFrame, key: str, tokens: Column, dims: int = 256) -> DataFrame:
-    """key, bucket, value: sparse hashed features, of unit length."""
-    f = docs.select(F.col(key), F.explode(feature_buckets(tokens, dims)).alias("f")).groupBy(key, "f").agg(F.count("*").alias("tf"))
+    """key, bucket, value: sparse hashed features of unit length: signed 1 + ln tf by bucket of the md5, half of it for trigrams."""
+    f = docs.select(F.col(key), F.explode(features(tokens)).alias("f")).groupBy(key, "f").agg(F.count("*").alias("tf"))
     h = F.conv(F.substring(F.md5("f"), 1, 8), 16, 10).cast("bigint")
-    w = f.select(key, (h % dims).cast("int").alias("bucket"), (F.when(F.floor(h / dims) % 2 == 0, 1.0).otherwise(-1.0) * (1 + F.log("tf"))).alias("v")).groupBy(key, "bucket").agg(F.sum("v").alias("v"))
+    w = f.select(key, (h % dims).cast("int").alias("bucket"), (F.when(F.floor(h / dims) % 2 == 0, 1.0).otherwise(-1.0) * F.when(F.startswith("f", F.lit("t:")), 0.5).otherwise(1.0) * (1 + F.log("tf"))).alias("v")).groupBy(key, "bucket").agg(F.sum("v").alias("v"))
     n = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
     return w.withColumn("value", F.when(n > 0, F.col("v") / n).otherwise(0.0)).drop("v")

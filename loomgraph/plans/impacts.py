@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions import numbers as N
 from loomgraph.functions import text as X
 from loomgraph.operators import impact as P
 from loomgraph.operators import review as R
@@ -29,11 +30,10 @@ query("g18_best_trails", "select seed, node, distance, confidence, n - 1 as othe
 query("j19_test_mapping", "with w as (select l_orderkey as test, l_suppkey as symbol, l_returnflag as kind, max(l_quantity / 100) as w from lineitem group by 1, 2, 3), s as (select test, symbol, floor((1 - product(1 - w)) * 10000 + 0.5000001)::bigint as score from w group by 1, 2) select test, symbol, score, score >= 6000 as included from s")(
     lambda s, d: P.test_scores(table(s, d, "lineitem").select(c("l_orderkey").alias("test"), c("l_suppkey").alias("symbol"), c("l_returnflag").alias("kind"), (c("l_quantity") / 100).alias("weight"))).select("test", "symbol", F.round(c("score") * 10000).cast("long").alias("score"), "included")
 )
-_L = "select distinct o_custkey as a, l_suppkey * 100000 as b, cast(l_quantity as int) as weight from {orders} join {lineitem} on l_orderkey = o_orderkey where l_quantity = 50 and l_linenumber > 5"
+_L = "select distinct o_custkey as a, l_suppkey * 100000 as b, cast(l_quantity as int) as weight from {orders} join {lineitem} on l_orderkey = o_orderkey"
 query("c1_change_clusters", f"""with recursive l as ({duck(_L)}), e as (select a, b from l union select b, a from l), r(n, m) as (select a, a from e union select r.n, e.b from r join e on r.m = e.a), k as (select n, min(m) as m from r group by 1)
 select c_custkey as member, coalesce(m, c_custkey) as cluster from customer left join k on n = c_custkey""")(lambda s, d: P.clusters(spark_sql(s, d, _L), table(s, d, "customer").select(c("c_custkey").alias("member"))))
-_ALL = _L.replace(" where l_quantity = 50 and l_linenumber > 5", "")
-query("c2_cluster_split")(lambda s, d: (lambda l: P.split_oversized(l, P.clusters(l, l.select(F.explode(F.array("a", "b")).alias("member")).distinct())))(spark_sql(s, d, _ALL)))
+query("c2_cluster_split")(lambda s, d: (lambda l: P.split_oversized(l, P.clusters(l, l.select(F.explode(F.array("a", "b")).alias("member")).distinct())))(spark_sql(s, d, _L)))
 query("w5_plan_rank", """select o_orderkey, row_number() over (partition by o_custkey order by round(least(1.0, (o_orderkey % 100) / 100.0 + 0.1 * least((o_orderkey % 5) / 3.0, 1) + 0.05 * (o_orderkey % 2)), 6) desc, o_orderkey % 7 desc, o_orderkey)::int as position from orders""")(
     lambda s, d: P.plan_rank(table(s, d, "orders").select(c("o_custkey").alias("pr"), c("o_orderkey").alias("cluster"), (c("o_orderkey") % 100 / 100.0).alias("base"), (c("o_orderkey") % 5).alias("high"), (c("o_orderkey") % 2 == 1).alias("reachable"), (c("o_orderkey") % 7).alias("size"))).select(c("cluster").alias("o_orderkey"), "position")
 )
@@ -63,8 +63,8 @@ query("j7_module_probing", "select p_partkey, arg_min(x.e, x.i) as hit from part
     lambda s, d: table(s, d, "part").where("p_size > 10").select("p_partkey", F.posexplode(F.array(*map(F.lit, (".ts", ".tsx", "/index.ts")))).alias("i", "e")).where("(p_partkey + i) % 3 = 0").groupBy("p_partkey").agg(F.min_by("e", "i").alias("hit"))
 )
 query("j8_global_guards", "select r_name, n_name from region, nation where r_regionkey < 2")(lambda s, d: table(s, d, "nation").crossJoin(F.broadcast(table(s, d, "region").where("r_regionkey < 2").limit(100))).select("r_name", "n_name"))
-query("j18_interface_dispatch", "select p_partkey, o.o_custkey as caller, least(900, max(round(l_discount * 10000)::int)) as confidence from part join lineitem on l_partkey = p_partkey join orders o on o_orderkey = l_orderkey where p_partkey < 50 group by 1, 2")(
-    lambda s, d: table(s, d, "part").where("p_partkey < 50").join(table(s, d, "lineitem"), c("p_partkey") == c("l_partkey")).join(table(s, d, "orders"), c("l_orderkey") == c("o_orderkey")).groupBy("p_partkey", c("o_custkey").alias("caller")).agg(F.least(F.lit(900), F.max(F.round(c("l_discount") * 10000).cast("int"))).alias("confidence"))
+query("j18_interface_dispatch", "select p_partkey, o.o_custkey as caller, least(900, max(round(l_discount * 10000)::int)) as confidence from part join lineitem on l_partkey = p_partkey join orders o on o_orderkey = l_orderkey group by 1, 2")(
+    lambda s, d: table(s, d, "part").join(table(s, d, "lineitem"), c("p_partkey") == c("l_partkey")).join(table(s, d, "orders"), c("l_orderkey") == c("o_orderkey")).groupBy("p_partkey", c("o_custkey").alias("caller")).agg(F.least(F.lit(900), F.max(F.round(c("l_discount") * 10000).cast("int"))).alias("confidence"))
 )
 query("j22_publish_context", "select o_orderkey, c_name, n_name, r_name, l.n as lines from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey left join (select l_orderkey, count(*) as n from lineitem where l_returnflag = 'R' group by 1) l on l_orderkey = o_orderkey")(
     lambda s, d: table(s, d, "orders").join(table(s, d, "customer"), c("o_custkey") == c("c_custkey")).join(table(s, d, "nation"), c("c_nationkey") == c("n_nationkey")).join(table(s, d, "region"), c("n_regionkey") == c("r_regionkey")).join(table(s, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("*").alias("lines")), c("o_orderkey") == c("l_orderkey"), "left").select("o_orderkey", "c_name", "n_name", "r_name", "lines")
@@ -78,7 +78,10 @@ query("j27_stale_findings", "select p.o_orderkey, bool_or(q.o_orderkey is not nu
 query("j29_anchor_reconcile", "select coalesce(a.k, b.k) as k, case when a.n is null then 'provider_only' when b.n is null then 'local_only' when a.n <> b.n then 'differs' else 'same' end as status from (select l_partkey as k, count(*) as n from lineitem where l_linestatus = 'O' group by 1) a full join (select l_partkey as k, count(*) as n from lineitem where l_linestatus = 'F' group by 1) b on a.k = b.k")(
     lambda s, d: (lambda li, g: g(li.where("l_linestatus = 'O'"), "a").join(g(li.where("l_linestatus = 'F'"), "b"), "k", "full_outer").select("k", F.when(c("a").isNull(), "provider_only").when(c("b").isNull(), "local_only").when(c("a") != c("b"), "differs").otherwise("same").alias("status")))(table(s, d, "lineitem"), lambda x, n: x.groupBy(c("l_partkey").alias("k")).agg(F.count("*").alias(n)))
 )
-query("a15_wilson", "select event_type, count(*) filter (value > 50) as k, count(*) as n from events group by 1")(lambda s, d: ev(s, d).groupBy("event_type").agg(F.count_if(c("value") > 50).alias("k"), F.count("*").alias("n")))
+query("a15_wilson", """with m as (select user_id, count(*) filter (value > 20) as k, count(*)::double as n, 1.959963984540054 as z from events group by 1)
+select user_id, round(greatest((k / n + z * z / (2 * n) - z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 0), 9) as low, round(least((k / n + z * z / (2 * n) + z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n), 1), 9) as high from m""")(
+    lambda s, d: ev(s, d).groupBy("user_id").agg(N.wilson(F.count_if(c("value") > 20), F.count("*")).alias("w")).select("user_id", F.round("w.low", 9).alias("low"), F.round("w.high", 9).alias("high"))
+)
 query("a25_outcome_counts", "select count(*) filter (o_orderstatus = 'O') as ok, count(*) filter (o_orderstatus = 'F') as failed, count(*) filter (o_orderstatus = 'P') as partial from orders")(lambda s, d: table(s, d, "orders").agg(*(F.count_if(c("o_orderstatus") == k).alias(n) for k, n in (("O", "ok"), ("F", "failed"), ("P", "partial")))))
 query("a27_incremental_counters", "select l_shipdate::date::varchar as day, sum((l_returnflag = 'R')::int)::bigint as removed, sum((l_returnflag = 'A')::int)::bigint as added from lineitem group by 1")(lambda s, d: table(s, d, "lineitem").groupBy(c("l_shipdate").cast("date").cast("string").alias("day")).agg(F.sum((c("l_returnflag") == "R").cast("int")).alias("removed"), F.sum((c("l_returnflag") == "A").cast("int")).alias("added")))
 query("a28_code_metrics", "select doc_id, 1 + len(regexp_extract_all(text, '\\b(?:if|for|while|case|and|or)\\b')) as cyclomatic, len(string_split(text, chr(10)))::bigint as lines from documents")(lambda s, d: table(s, d, "documents").select("doc_id", (1 + F.regexp_count("text", F.lit(r"\b(?:if|for|while|case|and|or)\b"))).alias("cyclomatic"), F.size(F.split("text", "\n")).cast("long").alias("lines")))

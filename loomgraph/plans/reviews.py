@@ -11,6 +11,7 @@ from loomgraph.operators import intervals as I
 from loomgraph.operators import queue as Q
 from loomgraph.operators import review as R
 from loomgraph.operators import vector as E
+from loomgraph.operators.common import ranked
 from loomgraph.plans.catalog import query, table
 
 c = F.col
@@ -60,14 +61,28 @@ query("t7_context_score", f"select o_orderkey, round(({_SUM}) * (0.5 + 0.5 * (o_
 query("f16_distance_gate", """select o_orderkey, case o_custkey % 6 when 0 then 'pass' when 1 then case when sc >= 0.2 then 'pass' else 'below' end when 2 then case when sc >= 0.35 then 'pass' else 'below' end when 3 then case when sc >= 0.5 and o_orderkey % 3 >= 2 then 'pass' when sc < 0.5 then 'below' else 'distance' end else case when o_orderkey % 2 = 0 then 'pass' else 'distance' end end as gate
 from (select *, o_orderkey % 100 / 100.0 as sc from orders)""")(lambda s, d: table(s, d, "orders").select("o_orderkey", R.context_gate(c("o_custkey") % 6, c("o_orderkey") % 100 / 100.0, c("o_orderkey") % 3, F.lit(False), F.when(c("o_orderkey") % 2 == 0, "test").otherwise("doc")).alias("gate")))
 query("t8_weights_valid", "select 6 as reviewers, true as valid")(lambda s, d: s.createDataFrame([(k, float(x)) for k, v in _W.items() for x in v], "reviewer string, w double").groupBy("reviewer").agg(F.abs(F.sum("w") - 1).alias("off"), F.max("w").alias("m")).agg(F.count("*").cast("int").alias("reviewers"), F.bool_and((c("off") < 1e-9) & (c("m") <= 0.35)).alias("valid")))
-query("t9_greedy_selection")(lambda s, d: R.select_greedy(table(s, d, "lineitem").select(c("l_orderkey").alias("cluster"), F.concat_ws(":", "l_linenumber", "l_partkey").alias("item"), c("l_discount").alias("score"), c("l_quantity").cast("int").alias("tokens"), F.when(c("l_tax") > 0.04, (c("l_quantity") / 2).cast("int")).alias("cheaper_tokens"), (c("l_linenumber") == 1).alias("pinned"), c("l_returnflag").alias("category")), ["cluster"], 90, {"R": 1}))
-query("t1_neighbour_page", "select l_partkey, l_suppkey, l_quantity from lineitem where l_orderkey < 400 and (l_partkey, l_suppkey) > (300, 5) order by l_partkey, l_suppkey, l_quantity limit 40")(
-    lambda s, d: table(s, d, "lineitem").where("l_orderkey < 400").where(F.struct("l_partkey", "l_suppkey") > F.struct(F.lit(300).cast("long").alias("l_partkey"), F.lit(5).cast("long").alias("l_suppkey"))).orderBy("l_partkey", "l_suppkey", "l_quantity").limit(40).select("l_partkey", "l_suppkey", "l_quantity")
+_ITEMS = """select l_orderkey as cluster, l_linenumber || ':' || l_partkey as item, l_discount as score, l_quantity::int as tokens, case when l_tax > 0.04 then floor(l_quantity / 2)::int end as cheaper, l_linenumber <= 3 as pinned, l_returnflag as category,
+  case l_linenumber when 3 then 1 when 2 then 2 when 1 then 3 else 4 end as first from lineitem"""
+query("t9_greedy_selection", f"""with recursive o as (select *, row_number() over (partition by cluster order by first, case when pinned then 0 else -score / greatest(tokens, 1) end, -score, item) as rn from ({_ITEMS})),
+r as (select cluster, rn, item, 90 as room, 1 as of_r, null::varchar as reason, null::int as taken from (select distinct cluster, 0::bigint as rn, ''::varchar as item from o)
+union all select o.cluster, o.rn, o.item, r.room - coalesce(x.cost, 0), r.of_r - (x.cost is not null and o.category = 'R')::int, x.reason, x.cost from r join o on o.cluster = r.cluster and o.rn = r.rn + 1,
+  lateral (select case when o.category = 'R' and r.of_r <= 0 then 'count' when o.tokens <= r.room or (o.cheaper <= r.room and (o.pinned or o.score >= 0.5)) then 'selected' else 'tokens' end as reason,
+    case when o.category = 'R' and r.of_r <= 0 then null when o.tokens <= r.room then o.tokens when o.cheaper <= r.room and (o.pinned or o.score >= 0.5) then o.cheaper end as cost) x)
+select cluster, item, taken::bigint as taken, reason from r where rn > 0""")(
+    lambda s, d: R.select_greedy(
+        table(s, d, "lineitem").select(
+            c("l_orderkey").alias("cluster"), F.concat_ws(":", "l_linenumber", "l_partkey").alias("item"), c("l_discount").alias("score"), c("l_quantity").cast("int").alias("tokens"), F.when(c("l_tax") > 0.04, (c("l_quantity") / 2).cast("int")).alias("cheaper_tokens"),
+            (c("l_linenumber") <= 3).alias("pinned"), c("l_returnflag").alias("category"), F.when(c("l_linenumber") == 3, "changed_symbol").when(c("l_linenumber") == 2, "class_signature").otherwise("other").alias("kind"),
+        ), ["cluster"], 90, {"R": 1},
+    )
+)
+query("t1_neighbour_page", "select l_partkey, l_suppkey, l_quantity from lineitem where (l_partkey, l_suppkey) > (30, 5) order by l_partkey, l_suppkey, l_quantity limit 40")(
+    lambda s, d: table(s, d, "lineitem").where(F.struct("l_partkey", "l_suppkey") > F.struct(F.lit(30).cast("long").alias("l_partkey"), F.lit(5).cast("long").alias("l_suppkey"))).orderBy("l_partkey", "l_suppkey", "l_quantity").limit(40).select("l_partkey", "l_suppkey", "l_quantity")
 )
 query("t2_time_page", "select o_orderkey from orders where (o_orderdate, o_orderkey) < (timestamp '1996-01-01', 5000) order by o_orderdate desc, o_orderkey desc limit 51")(
     lambda s, d: table(s, d, "orders").where(F.struct(c("o_orderdate").cast("timestamp"), "o_orderkey") < F.struct(F.lit("1996-01-01").cast("timestamp").alias("o_orderdate"), F.lit(5000).cast("long").alias("o_orderkey"))).orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(51).select("o_orderkey")
 )
-query("t3_finding_order", "select o_orderkey, row_number() over (order by o_orderpriority, o_totalprice desc nulls last, o_orderdate, o_orderkey)::int as n from orders where o_custkey % 50 = 0")(lambda s, d: table(s, d, "orders").where("o_custkey % 50 = 0").select("o_orderkey", F.row_number().over(Window.orderBy("o_orderpriority", F.desc_nulls_last("o_totalprice"), "o_orderdate", "o_orderkey")).alias("n")))
+query("t3_finding_order", "select o_orderkey, row_number() over (order by o_orderpriority, o_totalprice desc nulls last, o_orderdate, o_orderkey)::int as n from orders")(lambda s, d: ranked(table(s, d, "orders"), c("o_orderpriority"), F.desc_nulls_last("o_totalprice"), c("o_orderdate"), c("o_orderkey")).select("o_orderkey", "n"))
 query("t4_publishable_order", "select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey)::int as number from orders where o_orderstatus <> 'F'")(lambda s, d: table(s, d, "orders").where("o_orderstatus <> 'F'").select("o_orderkey", "o_custkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("number")))
 query("t12_candidate_cap", "select o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) <= 3 as kept from orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", (F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")) <= 3).alias("kept")))
 query("t14_job_claim", "select user_id, event_id from (select *, row_number() over (partition by user_id order by value desc, ts, event_id) as rn from events) where rn = 1")(lambda s, d: Q.claim(ev(s, d), "user_id", F.desc("value"), c("ts"), c("event_id")).select("user_id", "event_id"))
@@ -130,17 +145,17 @@ query("o11_capped_diagnostics", "select l_suppkey, l_orderkey, l_linenumber, l_p
 query("o18_cache_lookup", "select o_orderkey, case when o_orderdate > timestamp '1996-06-01' then o_orderstatus end as hit from orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", F.when(c("o_orderdate") > F.lit("1996-06-01").cast("timestamp"), c("o_orderstatus")).alias("hit")))
 query("o22_effective_settings", "select c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'default') as setting from customer")(lambda s, d: table(s, d, "customer").select("c_custkey", F.coalesce(F.nullif("c_mktsegment", F.lit("BUILDING")), F.lit("default")).alias("setting")))
 # Vectors
-query("e1_filtered_top_k", "with q as (select * from embeddings where vec_id % 50 = 0), x as (select q.vec_id as query, p.vec_id as id, round(list_cosine_similarity(q.embedding::double[], p.embedding::double[]), 6) as score from q join embeddings p on q.label = p.label and q.vec_id <> p.vec_id) select query, id, score, rank::int as rank from (select *, row_number() over (partition by query order by score desc, id) as rank from x) where rank <= 10")(
-    lambda s, d: E.top_k(table(s, d, "embeddings").where("vec_id % 50 = 0"), table(s, d, "embeddings"), 10, "vec_id", "embedding", "label")
+query("e1_filtered_top_k", "with q as (select * from embeddings where vec_id % 20 = 0), x as (select q.vec_id as query, p.vec_id as id, round(list_cosine_similarity(q.embedding::double[], p.embedding::double[]), 6) as score from q join embeddings p on q.label = p.label and q.vec_id <> p.vec_id) select query, id, score, rank::int as rank from (select *, row_number() over (partition by query order by score desc, id) as rank from x) where rank <= 10")(
+    lambda s, d: E.top_k(table(s, d, "embeddings").where("vec_id % 20 = 0"), table(s, d, "embeddings"), 10, "vec_id", "embedding", "label")
 )
 query("e2_embed_or_reuse", "select vec_id, case when vec_id % 3 = 0 then 'reuse' else 'embed' end as action from embeddings")(lambda s, d: table(s, d, "embeddings").join(table(s, d, "embeddings").where("vec_id % 3 = 0").select(c("vec_id").alias("v")), c("vec_id") == c("v"), "left").select("vec_id", F.when(c("v").isNotNull(), "reuse").otherwise("embed").alias("action")))
 query("f12_vector_filter", "select vec_id from embeddings where label in (1, 2, 3) and not vec_id between 10 and 40")(lambda s, d: table(s, d, "embeddings").where(c("label").isin(1, 2, 3) & ~c("vec_id").between(10, 40)).select("vec_id"))
 query("f13_tenant_scope", "select vec_id, label from embeddings where label = 2")(lambda s, d: E.tenant(table(s, d, "embeddings").withColumn("org", c("label").cast("string")), "2", "org").select("vec_id", "label"))
 query("f14_no_tenant_no_rows", "select vec_id from embeddings where false")(lambda s, d: E.tenant(table(s, d, "embeddings"), None, "label").select("vec_id"))
-query("m10_feature_embedding", """with t as (select doc_id, list_filter(string_split_regex(lower(substr(text, 1, 400)), '[^a-z]+'), lambda x: x <> '') as w from documents), f as (select doc_id, f, count(*) as tf from (select doc_id, unnest(list_transform(w, lambda x: 'u:' || x) || list_transform(range(1, len(w)), lambda i: 'b:' || w[i] || ' ' || w[i+1])) as f from t) group by 1, 2),
-h as (select doc_id, ('0x' || substr(md5(f), 1, 8))::bigint as h, tf from f), b as (select doc_id, h % 64 as bucket, sum(case when (h // 64) % 2 = 0 then 1 else -1 end * (1 + ln(tf))) as v from h group by 1, 2)
-select doc_id, bucket::int as bucket, round(coalesce(v / nullif(sqrt(sum(v * v) over (partition by doc_id)), 0), 0), 6) as value from b""")(
-    lambda s, d: E.embed(table(s, d, "documents"), "doc_id", F.filter(F.split(F.lower(F.substring("text", 1, 400)), "[^a-z]+"), lambda x: x != ""), 64).withColumn("value", F.round("value", 6))
+query("m10_feature_embedding", """with t as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x <> '') as w from documents), f as (select doc_id, f, count(*) as tf from (select doc_id, unnest(list_transform(w, lambda x: 'u:' || x) || list_transform(range(1, len(w)), lambda i: 'b:' || w[i] || ' ' || w[i+1]) || flatten(list_transform(list_filter(w, lambda x: length(x) >= 3), lambda x: list_transform(range(1, length(x) - 1), lambda i: 't:' || substr(x, i, 3))))) as f from t) group by 1, 2),
+h as (select doc_id, ('0x' || substr(md5(f), 1, 8))::bigint as h, case when f like 't:%' then 0.5 else 1 end * (1 + ln(tf)) as w from f), b as (select doc_id, h % 64 as bucket, sum(case when (h // 64) % 2 = 0 then 1 else -1 end * w) as v from h group by 1, 2)
+select doc_id, bucket::int as bucket, round(coalesce(v / nullif(sqrt(sum(v * v) over (partition by doc_id)), 0), 0), 6) + 0.0 as value from b""")(
+    lambda s, d: E.embed(table(s, d, "documents"), "doc_id", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda x: x != ""), 64).withColumn("value", F.round("value", 6) + 0.0)
 )
 # Queues and series
 query("q1_idempotent_enqueue", "select user_id, arg_min(event_id, (ts, event_id)) as event_id from events group by 1")(lambda s, d: Q.first_by_key(ev(s, d).select("user_id", "ts", "event_id"), "user_id", "ts", "event_id").select("user_id", "event_id"))
@@ -163,7 +178,7 @@ query("q21_trailing_rates", """with d as (select date_trunc('day', ts)::date as
     lambda s, d: (lambda x, w: x.select(c("day").cast("string").alias("day"), (F.sum("a").over(w) / F.sum("n").over(w)).alias("rate")))(ev(s, d).groupBy(c("ts").cast("date").alias("day")).agg(F.count_if(c("value") > 50).alias("a"), F.count("*").alias("n")), Window.orderBy(F.unix_date("day")).rangeBetween(-6, 0))
 )
 query("q22_polling_reconcile", "select o_orderkey from orders where o_orderstatus = 'O' and o_orderkey not in (select l_orderkey from lineitem where l_linestatus = 'O' and l_quantity > 30)")(lambda s, d: table(s, d, "orders").where("o_orderstatus = 'O'").join(table(s, d, "lineitem").where("l_linestatus = 'O' and l_quantity > 30"), c("o_orderkey") == c("l_orderkey"), "left_anti").select("o_orderkey"))
-query("w7_hash_chain_verify", "select user_id, null::bigint as first_bad from events where user_id < 40 group by 1")(lambda s, d: (lambda r: Q.chain_breaks(Q.hash_chain(r, "user_id", "event_id", "props"), r, "user_id", "event_id", "props"))(ev(s, d).where("user_id < 40").select("user_id", "event_id", "props")))
+query("w7_hash_chain_verify", "select user_id, null::bigint as first_bad from events group by 1")(lambda s, d: (lambda r: Q.chain_breaks(Q.hash_chain(r, "user_id", "event_id", "props"), r, "user_id", "event_id", "props"))(ev(s, d).select("user_id", "event_id", "props")))
 # Filters
 query("f5_path_glob", "select p_partkey from part where p_type like 'SMALL%' and not p_type like '%STEEL'")(lambda s, d: table(s, d, "part").where(c("p_type").rlike("^SMALL.*$") & ~c("p_type").rlike("^.*STEEL$")).select("p_partkey"))
 query("f6_file_disposition", "select doc_id, case when text like '%Licensed under%' then 'vendored' when length(text) > 20000 then 'too_large' when length(text) / len(string_split(text, chr(10))) > 500 then 'minified' else 'analyze' end as disposition from documents")(

@@ -49,8 +49,8 @@ _each(
     {"stem": r"case when regexp_matches(string_split(path, '/')[-1], '\.(spec|test|e2e-spec)\.') then regexp_extract(string_split(path, '/')[-1], '^(.*?)\.(spec|test|e2e-spec)\.', 1) else regexp_replace(string_split(path, '/')[-1], '\.[^.]*$', '') end", "dir": "regexp_replace(case when contains(path, '/') then path else '' end, '/[^/]*$', '')", "is_test": r"regexp_matches(path, '\.(spec|test|e2e-spec)\.[^/]*$|(^|/)__tests__/')", "mirrors": "true"},
 )
 _each(
-    "x5_redact", docs, "doc_id", lambda: {"redacted": F.md5(X.redact(c("text"))), "has_secret": X.has_secret(c("text"))}, "documents",
-    {"redacted": "md5(" + "regexp_replace(" * len(X.SECRETS) + "text" + "".join(", '" + p.replace("'", "''") + f"', '«redacted:{n}»', 'g')" for n, p in X.SECRETS) + ")", "has_secret": "(" + " or ".join("regexp_matches(text, '" + p.replace("'", "''") + "')" for _, p in X.SECRETS) + ")"},
+    "x5_redact", lambda s, d: docs(s, d).withColumn("t", F.concat("text", F.lit('\napi_key = "'), F.md5("text"), F.lit('" # x'))), "doc_id", lambda: {"redacted": F.md5(X.redact(c("t"))), "has_secret": X.has_secret(c("t"))}, "documents",
+    {"redacted": """md5(text || chr(10) || '«redacted:env_assignment:' || substr(sha256('api_key = "' || md5(text) || '"'), 1, 8) || '» # x')""", "has_secret": "text is not null"},
 )
 _each("x6_redact_remote", lambda s, d: table(s, d, "pages").withColumn("u", F.concat(F.regexp_replace("url", "://", "://user:pw@"), F.lit("?q=1#x"))), "page_id", lambda: {"remote": X.redact_remote(c("u"))}, "pages", {"remote": "regexp_replace(regexp_replace(concat(regexp_replace(url, '://', '://user:pw@'), '?q=1#x'), '^([A-Za-z][A-Za-z0-9+.-]*://)[^/@]*@', '\\1'), '[?#].*$', '')"})
 _each("x7_http_path", lambda s, d: paths(s, d).withColumn("r", F.concat(F.lit("users/:id//{x}/"), c("path"), F.lit("/[slug]/*rest/?q=1"))), "p_partkey", lambda: {"route": X.http_path(c("r"))}, PATHS, {"route": "'/' || 'users/{}/{}/' || path || '/{}/{}'"})

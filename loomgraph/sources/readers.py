@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators.common import small
+
 # Languages by extension, names of files, and interpreters.
 EXTENSIONS = {
     "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
@@ -12,7 +14,7 @@ EXTENSIONS = {
     "swift": "swift", "scala": "scala", "sh": "shell", "sql": "sql", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "md": "markdown", "html": "html", "css": "css",
 }
 FILE_NAMES = {"Dockerfile": "dockerfile", "Makefile": "makefile"}
-INTERPRETERS = {"python": "python", "node": "javascript", "bash": "shell", "sh": "shell", "ruby": "ruby"}
+INTERPRETERS = {"node": "javascript", "nodejs": "javascript", "bun": "javascript", "ts-node": "typescript", "tsx": "typescript", "deno": "typescript", "bash": "shell", "sh": "shell", "zsh": "shell", "dash": "shell", "ruby": "ruby"}
 LOCKFILES = {"package-lock.json": "npm", "yarn.lock": "npm", "pnpm-lock.yaml": "npm", "Cargo.lock": "cargo", "go.sum": "go", "poetry.lock": "python", "Gemfile.lock": "ruby"}
 
 
@@ -44,8 +46,12 @@ def language(path: Column, first_line: Column | None = None) -> Column:
     out = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in FILE_NAMES.items() for x in kv)), name), F.try_element_at(F.create_map(*(F.lit(x) for kv in EXTENSIONS.items() for x in kv)), ext))
     if first_line is None:
         return out
-    shell = F.regexp_extract(first_line, r"^#!.*?([a-z]+)[0-9.]*\s*$", 1)
-    return F.coalesce(out, F.try_element_at(F.create_map(*(F.lit(x) for kv in INTERPRETERS.items() for x in kv)), shell))
+    # The program, or after env its first argument that is no option.
+    tokens = F.split(F.trim(F.regexp_replace(F.when(F.startswith(first_line, F.lit("#!")), first_line), "^#!", "")), r"\s+")
+    base = lambda t: F.element_at(F.split(t, "/"), -1)
+    program = base(F.when(base(F.get(tokens, F.lit(0))) == "env", F.get(F.filter(F.slice(tokens, 2, 1 << 20), lambda t: ~F.startswith(t, F.lit("-"))), F.lit(0))).otherwise(F.get(tokens, F.lit(0))))
+    by_program = F.try_element_at(F.create_map(*(F.lit(x) for kv in INTERPRETERS.items() for x in kv)), program)
+    return F.coalesce(out, F.when(F.startswith(program, F.lit("python")), "python").otherwise(by_program))
 
 
 def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -78,8 +84,8 @@ def glob_regex(pattern: Column) -> Column:
 
 
 def owners_of(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """path, owners of the last rule that matches; rules are one file's lines, so they are sent to all."""
-    r = F.broadcast(rules.select("line_no", glob_regex(F.col("pattern")).alias("re"), "owners").limit(100_000))
+    """path, owners of the last rule that matches; rules are one file's lines, which are counted and then sent to all."""
+    r = small(rules.select("line_no", glob_regex(F.col("pattern")).alias("re"), "owners"))
     hit = paths.select("path").distinct().join(r, F.expr("path rlike re"))
     return hit.groupBy("path").agg(F.max_by("owners", "line_no").alias("owners"))
 
