@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators.common import cut  # noqa: F401  (the operators of this package take it from here)
+
 #: The separators of words: space and \\x09-\\x0D, as a Java class.
 SPACES = " \\t\\n\\x0B\\f\\r"
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -18,18 +17,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> None:
-    """Make sure checkpoint() has a folder: the cluster's own where it names one, else (tests) a temporary one."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(path or os.path.join(tempfile.gettempdir(), "loomgraph-checkpoints"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, without lineage."""
-    scratch(df.sparkSession)
-    return df.checkpoint(eager=True)
+def free(name: str, df: DataFrame) -> str:
+    """The name, or one like it that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_rows(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:

@@ -211,6 +211,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets and components of all documents over four-word shingles; null and wordless texts stay alone."""
     return link(read(spark, sf_dir, "documents"), k=4)
 
 
