@@ -481,19 +481,73 @@ def test_base_spans_of_secrets_are_those_of_the_contract():
         assert [x for x in secrets.spans_of(t) if x[0] != "literal"] == plain_secrets(t), t
 
 
-def test_queries_run_and_pipeline_keeps_its_columns(spark):
+def plain_lines(rows):
+    """Texts without the lines like an earlier one, by id."""
+    seen, out = [], {}
+    for i, t in sorted(rows.items()):
+        kept = []
+        for line in t.split("\n"):
+            x = set(WORD.findall(line))
+            if not x or not any(9 * len(x & o) >= 4 * (len(x) + len(o)) for o in seen):
+                kept.append(line)
+            if x:
+                seen.append(x)
+        out[i] = "\n".join(kept)
+    return out
+
+
+def plain_near(rows, k=5):
+    """Ids that are not the smallest of their group."""
+    sets = {}
+    for i, t in rows.items():
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    label = components_of(links, sets)
+    return {i for i in sets if label[i] != i}
+
+
+def test_pipeline_stages_are_those_of_plain_code(spark):
+    """Each stage on the input that the one before left; the whole is what they leave."""
     sf = "/root/testdata/sf0.001"
     documents = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [(r.item_id, decontaminate.normal_words(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    wins = {tuple(w[j : j + 8]) for _, w in items for j in range(max(1, len(w) - 7) if w else 0)}
+    text = lambda df: {r.doc_id: r.text for r in df.collect()}
     docs = documents
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, sf)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf).checkpoint()
         assert k == 4 or out.columns == documents.columns
-        docs = out.checkpoint()
-    assert {r.doc_id for r in docs.collect()} <= {r.doc_id for r in documents.collect()} and docs.count() > 0
-    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "taken").collect())) == sorted(map(tuple, docs.select("doc_id", "taken").collect()))
+        was, now = text(docs), text(out)
+        if name == "language ID":
+            assert all(now[i] == was[i] for i in now) and all(t is not None and any(c.isalpha() for c in t) for t in now.values()) and len(now) > 0.95 * sum(any(c.isalpha() for c in t or "") for t in was.values())
+        elif name == "line dedup":
+            assert now == plain_lines(was)
+        elif name == "MinHash near-dedup":
+            assert set(was) - set(now) == plain_near(was)
+        elif name == "benchmark decontamination":
+            hit = set()
+            for i, t in was.items():
+                w = decontaminate.normal_words(t)
+                if any(tuple(w[p : p + n]) in wins for n in {len(x) for x in wins} for p in range(len(w) - n + 1)):
+                    hit.add(i)
+            assert set(was) - set(now) == hit
+        else:
+            taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken > 0}
+            assert {r.doc_id: r.taken for r in out.collect()} == taken and all(0 < r.taken <= 3 * len(WORD.findall(r.text)) for r in out.collect())
+        docs = out
+    assert 0 < docs.count() and sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "taken").collect())) == sorted(map(tuple, docs.select("doc_id", "taken").collect()))
     assert set(registry.SQL) <= set(registry.QUERIES) and len(registry.QUERIES) == 10
 
 
+def test_last_stage_takes_clashing_names_and_repeated_rows(spark, docs):
+    clash = docs.select("doc_id", "text", "source", "size", F.lit(1).alias("taken"), F.lit("x").alias("id"), F.lit("y").alias("words"), F.lit("z").alias("nr"))
+    out = corpus_pipeline.mix_sources(spark, clash, "")
+    assert sorted(out.columns) == sorted(["doc_id", "text", "source", "id", "words", "nr", "size", "source_size", "target", "taken"])
+    want = sorted((r.doc_id, r.taken) for r in mixing.mix(clash).collect() if r.taken > 0)
+    assert sorted((r.doc_id, r.taken) for r in out.collect()) == want
+
+
 def test_query_digests_follow_their_contract(spark):
     sf = "/root/testdata/sf0.001"
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
