@@ -63,8 +63,8 @@ _CHANGE = _scored(f"select 'change' as key, category, contribution, floor from {
 query("a8_risk_rollup", f"""with y as (select * from {_PER_SYMBOL}), k as (select * from {_PER_CLUSTER}), w as (select max(score) as score, max(lv) as lv from (select score, lv from k union all select score, lv from {_CHANGE})),
 b as (select 1 - (1 - score) * 0.9 as score, greatest(lv, case when 1 - (1 - score) * 0.9 >= 0.75 then 3 when 1 - (1 - score) * 0.9 >= 0.5 then 2 when 1 - (1 - score) * 0.9 >= 0.25 then 1 else 0 end) as lv from w),
 a as (select 'symbol' as scope, key, score, lv from y union all select 'cluster', key, score, lv from k union all select 'change', '', score, lv from b)
-select scope, key, round(score, 6) as score, ['low', 'medium', 'high', 'critical'][lv + 1] as level from a""")(
-    lambda s, d: C.roll_up(spark_sql(s, d, SIGNALS), spark_sql(s, d, _SYMBOLS), spark_sql(s, d, _MEMBERS), 60, digits=12).withColumn("score", F.round("score", 6))
+select scope, key, floor(score * 1000000 + 0.5001)::bigint as score, ['low', 'medium', 'high', 'critical'][lv + 1] as level from a""")(
+    lambda s, d: C.roll_up(spark_sql(s, d, SIGNALS), spark_sql(s, d, _SYMBOLS), spark_sql(s, d, _MEMBERS), 60, digits=12).withColumn("score", F.floor(c("score") * 1000000 + 0.5001))
 )
 # An order's lines are hunk lines: returned ones deleted, accepted ones added.
 query("m12_changed_ranges", """with x as (select l_orderkey, case l_returnflag when 'R' then 'old' else 'new' end as side, l_linenumber as n from lineitem where l_returnflag <> 'N'),
