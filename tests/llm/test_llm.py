@@ -378,6 +378,21 @@ def test_lines_are_removed_as_by_brute_force(docs, rows, none, monkeypatch, broa
     assert linededup.dedup_lines(none).columns == none.columns and linededup.dedup_lines(none).count() == 0
 
 
+def test_a_group_of_near_lines_makes_few_pairs(spark, monkeypatch):
+    n, made, cut = 400, [], linededup.cut
+
+    def counted(df):
+        out = cut(df)
+        made.append(out.count() if "doc2" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(linededup, "cut", counted)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(30) if j != i % 30) + f" x{i}") for i in range(n)], "doc_id long, text string")
+    assert n < linededup.HOT
+    assert {r.doc: r.nos for r in linededup.removed_lines(docs).collect()} == {i: [0] for i in range(1, n)}
+    assert sum(made) <= 4 * n
+
+
 def test_personal_data(spark, docs, rows, none):
     t = "mail a.b@c.de or x@y, ip 10.0.0.256 1.2.3.4 card 4111 1111 1111 1111 and 4111 1111 1111 1112 phone +49 (30) 123-4567 ssn 123-45-6789 joe [at] mail [dot] org"
     d = spark.createDataFrame([(1, t), (2, None), (3, ""), (4, "1" * 40_000), (5, "a" * 60_000)], "doc_id long, text string")
