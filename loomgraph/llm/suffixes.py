@@ -24,7 +24,9 @@ columns play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,18 @@ _power = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
 
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker, which waits for its next task, gives back the memory that it no longer uses."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return freed
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2 ** 64."""
     global _power, _inverse
@@ -87,7 +101,7 @@ def _shared(rows: DataFrame, window: int, hot: int) -> DataFrame:
                     docs.append(np.full(len(own), doc, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(docs))], names=["name", "doc"])
 
-    found = rows.mapInArrow(run, "name long, doc long").withColumn("n", F.count("*").over(Window.partitionBy("name"))).where("n > 1")
+    found = rows.mapInArrow(freeing(run), "name long, doc long").withColumn("n", F.count("*").over(Window.partitionBy("name"))).where("n > 1")
     return found.groupBy("doc").agg(F.collect_set("name").alias("names"), F.collect_set(F.when(F.col("n") > hot, F.col("name"))).alias("hots"))
 
 
@@ -123,7 +137,7 @@ def _around(rows: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=labels)
 
     kinds, labels = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), ["name", "doc", "at", "off", "size", "bytes"]
-    return rows.mapInArrow(run, _AROUND)
+    return rows.mapInArrow(freeing(run), _AROUND)
 
 
 def _order(keys: np.ndarray, texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +279,7 @@ def _cold(around: DataFrame, window: int, first: bool) -> DataFrame:
         if kept and sum(x.num_rows for x in kept):
             yield work(pa.Table.from_batches(kept).combine_chunks())
 
-    return around.mapInArrow(run, "doc long, span long")
+    return around.mapInArrow(freeing(run), "doc long, span long")
 
 
 def _hot(around: DataFrame, window: int, first: bool) -> DataFrame:
@@ -279,7 +293,7 @@ def _hot(around: DataFrame, window: int, first: bool) -> DataFrame:
                 g = hashes(t[::-1], window)[::-1]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(np.full(len(h), doc, np.int64)), pa.array(np.arange(at, at + len(h)))], names=["h", "g", "doc", "at"])
 
-    w = around.mapInArrow(run, "h long, g long, doc long, at long")
+    w = around.mapInArrow(freeing(run), "h long, g long, doc long, at long")
     many = w.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("lead")).where("n > 1").withColumnsRenamed({"h": "h2", "g": "g2"})
     hit = w.join(many, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")))
     hit = hit.where(F.struct("doc", "at") > F.col("lead")) if first else hit
@@ -322,7 +336,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     found = repeats(docs, id_col, text_col, window, keep, hot)
-    return found.mapInArrow(run, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return found.mapInArrow(freeing(run), f"doc_id {found.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -378,6 +378,22 @@ def test_lines_are_removed_as_by_brute_force(docs, rows, none, monkeypatch, broa
     assert linededup.dedup_lines(none).columns == none.columns and linededup.dedup_lines(none).count() == 0
 
 
+def test_workers_give_memory_back_after_a_task():
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096  # noqa: E731, SIM115
+    kept = []
+
+    def run(batches):
+        texts = [bytes(4000) for _ in range(20_000)]
+        kept.append(texts[-1])  # so that what lies below it isn't given back by itself
+        yield from batches
+
+    left = []
+    for f in (run, suffixes.freeing(run)):
+        assert list(f(iter([1, 2]))) == [1, 2]
+        left.append(resident())
+    assert left[1] < left[0] - (40 << 20)
+
+
 def test_a_group_of_near_lines_makes_few_pairs(spark, monkeypatch):
     n, made, cut = 400, [], linededup.cut
 
