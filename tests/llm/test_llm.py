@@ -409,6 +409,54 @@ def test_a_group_of_near_lines_makes_few_pairs(spark, monkeypatch):
     assert sum(made) <= 4 * n
 
 
+@pytest.mark.parametrize(("look", "hot"), [(1, 1024), (1, 2), (1 << 30, 1024)])
+def test_lines_are_removed_by_any_look(spark, monkeypatch, look, hot):
+    monkeypatch.setattr(linededup, "LOOK", look)
+    monkeypatch.setattr(linededup, "HOT", hot)
+    rng, made = random.Random(7), []
+    vocabulary = [f"w{i}" for i in range(60)]
+    while len(made) < 240:
+        line = rng.sample(vocabulary, rng.randint(1, 24))
+        for _ in range(rng.randint(1, 5)):
+            made.append(line := [w for w in line if rng.random() > 0.06] + rng.sample(vocabulary, rng.randint(0, 2)) or ["w0"])
+    seen, gone = [], {}
+    for i, line in enumerate(made):
+        if any(9 * len(set(line) & o) >= 4 * (len(set(line)) + len(o)) for o in seen):
+            gone[i] = [0]
+        seen.append(set(line))
+    docs = spark.createDataFrame([(i, " ".join(line)) for i, line in enumerate(made)], "doc_id long, text string")
+    assert 20 < len(gone) < len(made) - 20
+    assert {r.doc: r.nos for r in linededup.removed_lines(docs).collect()} == gone
+
+
+def test_noisy_lines_of_a_group_make_few_pairs(spark, monkeypatch):
+    n, made, cut, rng = 600, [], linededup.cut, random.Random(3)
+
+    def counted(df):
+        out = cut(df)
+        made.append(out.count() if "doc2" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(linededup, "cut", counted)
+    # Each copy has three words of its own, which are its rarest ones.
+    base = [f"w{j}" for j in range(60)]
+    made_of = [[w for j, w in enumerate(base) if j not in set(rng.sample(range(60), 3))] + [f"x{i}a", f"x{i}b", f"x{i}c"] for i in range(n)]
+    docs = spark.createDataFrame([(i, " ".join(x if i else base)) for i, x in enumerate(made_of)], "doc_id long, text string")
+    assert n < linededup.HOT
+    assert {r.doc: r.nos for r in linededup.removed_lines(docs).collect()} == {i: [0] for i in range(1, n)}
+    assert sum(made) <= 4 * n
+
+
+def test_a_lines_words_are_exchanged_once(spark):
+    line = "doc long, no int, n int, even long, odd long, open boolean, at int, word long"
+    p = spark.createDataFrame([(i, 0, 5, 0, 0, True, 0, 7) for i in range(3)], line)
+    hot = spark.createDataFrame([(8,)], "word long")
+    out = linededup.cold_pairs(p, hot, 80)
+    assert out.count() == 3
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_personal_data(spark, docs, rows, none):
     t = "mail a.b@c.de or x@y, ip 10.0.0.256 1.2.3.4 card 4111 1111 1111 1111 and 4111 1111 1111 1112 phone +49 (30) 123-4567 ssn 123-45-6789 joe [at] mail [dot] org"
     d = spark.createDataFrame([(1, t), (2, None), (3, ""), (4, "1" * 40_000), (5, "a" * 60_000)], "doc_id long, text string")
