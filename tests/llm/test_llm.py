@@ -447,6 +447,23 @@ def test_noisy_lines_of_a_group_make_few_pairs(spark, monkeypatch):
     assert sum(made) <= 4 * n
 
 
+def test_the_pipeline_makes_few_pairs_of_noisy_lines(spark, monkeypatch):
+    n, made, cut = 600, [], linededup.cut
+
+    def counted(df):
+        out = cut(df)
+        made.append(out.count() if "doc2" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(linededup, "cut", counted)
+    rng = random.Random(4)
+    lines = [" ".join([f"w{j}" for j in rng.sample(range(60), 57)] + [f"x{i}{c}" for c in "abc"]) if i else " ".join(f"w{j}" for j in range(60)) for i in range(n)]
+    docs = spark.createDataFrame([(i, f"{line}\nlast{i}") for i, line in enumerate(lines)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert out == {i: f"{line}\nlast{i}" if i == 0 else f"last{i}" for i, line in enumerate(lines)}
+    assert sum(made) <= 4 * n
+
+
 def test_a_lines_words_are_exchanged_once(spark):
     line = "doc long, no int, n int, even long, odd long, open boolean, at int, word long"
     p = spark.createDataFrame([(i, 0, 5, 0, 0, True, 0, 7) for i in range(3)], line)
