@@ -409,6 +409,23 @@ def test_a_group_of_near_lines_makes_few_pairs(spark, monkeypatch):
     assert sum(made) <= 4 * n
 
 
+def test_lines_look_only_under_words_that_many_hold(spark, monkeypatch):
+    n, made, cut = 2000, [], linededup.cut
+
+    def counted(df):
+        out = cut(df)
+        if "doc2" in out.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "cut", counted)
+    # Pairs of like lines, whose words no other lines hold; in a table of so few buckets any word seems frequent.
+    monkeypatch.setattr(linededup, "BUCKETS", 8)
+    docs = spark.createDataFrame([(i, " ".join(f"x{i // 2}_{j}" for j in range(30 - i % 2))) for i in range(n)], "doc_id long, text string")
+    assert {r.doc: r.nos for r in linededup.removed_lines(docs).collect()} == {i: [0] for i in range(1, n, 2)}
+    assert made == [0, n // 2]
+
+
 @pytest.mark.parametrize(("look", "hot"), [(1, 1024), (1, 2), (1 << 30, 1024)])
 def test_lines_are_removed_by_any_look(spark, monkeypatch, look, hot):
     monkeypatch.setattr(linededup, "LOOK", look)
