@@ -481,6 +481,23 @@ def test_the_pipeline_makes_few_pairs_of_noisy_lines(spark, monkeypatch):
     assert sum(made) <= 4 * n
 
 
+def test_lines_of_pairs_are_exchanged_once(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", -1)
+    docs = spark.createDataFrame([(None, "a b c d e"), (1, "x\na b c d e f"), (2, "a b")], "doc_id long, text string")
+    pairs = spark.createDataFrame([(None, 0, 1, 1), (None, 0, 2, 0), (1, 1, 2, 0)], "doc long, no int, doc2 long, no2 int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = linededup.similar(docs, pairs, 80, "doc_id", "text")
+        plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert out.collect() == [(1, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # No exchange right above the one by place.
+    at = [i for i, x in enumerate(plan) if "REPARTITION_BY_NUM" in x]
+    assert at and not any("Exchange" in plan[i - 1] for i in at)
+
+
 def test_a_lines_words_are_exchanged_once(spark):
     line = "doc long, no int, n int, even long, odd long, open boolean, at int, word long"
     p = spark.createDataFrame([(i, 0, 5, 0, 0, True, 0, 7) for i in range(3)], line)
