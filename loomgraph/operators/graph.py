@@ -10,10 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators.common import cut
+from loomgraph.operators.common import cut, ranked, small
 from loomgraph.operators.schema import kind_number
 
 MAX_DEPTH, MAX_NODES, SUBGRAPH_NODES = 16, 1_000_000, 500
+# Keys that are sent to all executors at most.
+FEW_KEYS = 1 << 17
 
 
 def directed(edges: DataFrame, direction: str) -> DataFrame:
@@ -23,6 +25,12 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
     return {"out": out, "in": into}.get(direction) or out.unionByName(into)
 
 
+def at_keys(directed_edges: DataFrame, keys: DataFrame) -> DataFrame:
+    """Directed edges at keys (node_key); few keys are sent to where edges are read, before these are joined, merged or shuffled."""
+    k = keys.select(F.col("node_key").alias("__k")).distinct()
+    return directed_edges.join(small(k, FEW_KEYS), F.col("at") == F.col("__k"), "left_semi")
+
+
 def degree(edges: DataFrame, direction: str = "both") -> DataFrame:
     """node_key, degree; a loop counts once for either end."""
     return directed(edges, direction).groupBy(F.col("at").alias("node_key")).agg(F.count("*").alias("degree"))
@@ -30,8 +38,7 @@ def degree(edges: DataFrame, direction: str = "both") -> DataFrame:
 
 def neighbours(edges: DataFrame, keys: DataFrame, direction: str = "both") -> DataFrame:
     """node_key, neighbour, distinct; with both, source and target of each edge count, so the node itself appears."""
-    e = directed(edges, direction)
-    hit = e.join(keys.select(F.col("node_key").alias("__k")), F.col("at") == F.col("__k"), "left_semi")
+    hit = at_keys(directed(edges, direction), keys)
     out = hit.select(F.col("at").alias("node_key"), F.col("other").alias("neighbour"))
     if direction == "both":
         out = out.unionByName(hit.select(F.col("at").alias("node_key"), F.col("at").alias("neighbour")))
@@ -40,7 +47,7 @@ def neighbours(edges: DataFrame, keys: DataFrame, direction: str = "both") -> Da
 
 def adjacent(edges: DataFrame, keys: DataFrame, direction: str) -> DataFrame:
     """Edges at keys with their rank in canonical order (kind number, other end)."""
-    e = directed(edges, direction).join(keys.select(F.col("node_key").alias("__k")), F.col("at") == F.col("__k"), "left_semi")
+    e = at_keys(directed(edges, direction), keys)
     return e.withColumn("rank", F.row_number().over(Window.partitionBy("at").orderBy(kind_number(F.col("kind")), "other")))
 
 
