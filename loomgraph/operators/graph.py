@@ -64,33 +64,35 @@ def merge_occurrences(edges: DataFrame) -> DataFrame:
     return e.select("source", "kind", "target", F.col("b.confidence").alias("confidence"), (-F.col("b.col2")).alias("resolved_by"), "flags", "occurrences", "at.path", "at.line")
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, direction: str = "out", max_depth: int = 2, max_nodes: int = 10_000, edge_budget: int | None = None) -> tuple[DataFrame, bool]:
+def bfs(edges: DataFrame, seeds: DataFrame, direction: str = "out", max_depth: int = 2, max_nodes: int | None = 10_000, edge_budget: int | None = None, until: str | None = None) -> tuple[DataFrame, bool]:
     """Nodes by first discovery: node_key, depth, idx (order of discovery), parent, kind, confidence (least along the way); and whether it was cut short.
 
     A level is one join; within it, earlier discovered parents, then kinds, then keys come first. The visited set stays
-    distributed; what the driver sees are counts. Seeds count as nodes.
+    distributed; what the driver sees are counts. Seeds count as nodes. Without max_nodes (null) all nodes within the depth
+    are found; the search ends with the level that finds `until`.
     """
     e = directed(edges, direction).select("at", "other", "kind", "confidence")
-    first = seeds.select("node_key").distinct()
-    visited = cut(first.withColumn("idx", F.row_number().over(Window.orderBy("node_key"))).where(F.col("idx") <= max_nodes).select("node_key", F.lit(0).alias("depth"), "idx", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("kind"), F.lit(1000).alias("confidence")))
-    level, total, left, short = visited, visited.count(), edge_budget or 50 * max_nodes, False
+    most = max_nodes if max_nodes is not None else 1 << 60
+    first = ranked(seeds.select("node_key").distinct(), "node_key", name="idx").where(F.col("idx") <= most)
+    visited = cut(first.select("node_key", F.lit(0).alias("depth"), "idx", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("kind"), F.lit(1000).alias("confidence")))
+    level, total, left, short = visited, visited.count(), edge_budget or 50 * most, False
     for depth in range(1, min(max_depth, MAX_DEPTH) + 1):
-        steps = level.select(F.col("node_key").alias("from"), F.col("idx").alias("from_idx"), F.col("confidence").alias("so_far")).join(e, F.col("from") == F.col("at"))
+        steps = level.select(F.col("node_key").alias("from"), F.col("idx").alias("from_idx"), F.col("confidence").alias("so_far")).join(at_keys(e, level), F.col("from") == F.col("at"))
         new = steps.join(visited.select(F.col("node_key").alias("__v")), F.col("other") == F.col("__v"), "left_anti")
-        one = new.withColumn("rn", F.row_number().over(Window.partitionBy("other").orderBy("from_idx", kind_number(F.col("kind")), F.desc("confidence")))).where("rn = 1")
-        order = F.row_number().over(Window.orderBy("from_idx", kind_number(F.col("kind")), "other"))
-        found = one.withColumn("n", order).where(F.col("n") <= max_nodes - total + 1)
+        by = F.struct("from_idx", kind_number(F.col("kind")).alias("k"), (-F.col("confidence")).alias("c"))
+        one = new.groupBy("other").agg(F.min_by(F.struct("from", "from_idx", "kind", "so_far", "confidence"), by).alias("s")).select("other", "s.*")
+        found = ranked(one, F.col("from_idx"), kind_number(F.col("kind")), F.col("other")).where(F.col("n") <= most - total + 1)
         found = cut(found.select(F.col("other").alias("node_key"), F.lit(depth).alias("depth"), (F.col("n") + total).alias("idx"), F.col("from").alias("parent"), "kind", F.least("so_far", "confidence").alias("confidence")))
         n = found.count()
         left -= n
         if n == 0:
             break
-        if total + n > max_nodes or left < 0:
-            found, short = found.where(F.col("idx") <= max_nodes), True
-        total += min(n, max_nodes - total)
+        if total + n > most or left < 0:
+            found, short = found.where(F.col("idx") <= most), True
+        total += min(n, most - total)
         visited = cut(visited.unionByName(found))
         level = found
-        if short:
+        if short or (until is not None and found.where(F.col("node_key") == until).limit(1).count()):
             break
     return visited, short
 

@@ -32,9 +32,9 @@ query("r9_low_risk", "select o_orderkey as key, case when o_orderkey % 7 = 0 or
     lambda s, d: (lambda o: C.low_risk(o.select(c("o_orderkey").alias("key"), (c("o_orderstatus") == "P").alias("comment_only"), (c("o_orderkey") % 2 == 0).alias("format_only"), (c("o_orderkey") % 3 == 0).alias("renamed_only"), (c("o_orderkey") % 5 == 0).alias("test"), (c("o_custkey") % 11 == 0).alias("degraded")), o.where("o_orderkey % 7 = 0").select(c("o_orderkey").alias("key"))))(table(s, d, "orders"))
 )
 query("g23_io_reachability", f"with e as (select distinct source, target from {M} where kind in ('calls', 'depends_on')), one as (select distinct source as k from e where target = 's:3') select k as node_key from one union select source from e where target in (select k from one)")(lambda s, d: C.two_hops(merged(s, d), keys(s, "s:3")))
-query("g16_type_hierarchy", f"with recursive e as (select source as a, target as b from {M} where kind in ('contains', 'declares')), r(n, depth) as (select 'r:3', 0 union select e.b, depth + 1 from r join e on e.a = r.n where depth < 2) select n as node_key, min(depth)::int as depth from r group by 1")(lambda s, d: G.bfs(merged(s, d).where(c("kind").isin("contains", "declares")), keys(s, "r:3"), "out", 2, max_nodes=1_000_000)[0].select("node_key", "depth"))
+query("g16_type_hierarchy", f"with recursive e as (select source as a, target as b from {M} where kind in ('contains', 'declares')), r(n, depth) as (select 'r:3', 0 union select e.b, depth + 1 from r join e on e.a = r.n where depth < 2) select n as node_key, min(depth)::int as depth from r group by 1")(lambda s, d: G.bfs(merged(s, d).where(c("kind").isin("contains", "declares")), keys(s, "r:3"), "out", 2, max_nodes=None)[0].select("node_key", "depth"))
 query("g20_trust_boundary", f"with recursive e as (select target as a, source as b from {M} where kind in ('depends_on', 'calls')), r(n, depth) as (select 's:9', 0 union select e.b, depth + 1 from r join e on e.a = r.n where depth < 2), g as (select c_custkey from customer where c_acctbal > 5000) select n as entry, min(depth)::int as depth, substr(n, 3)::bigint in (select c_custkey from g) as guarded from r where n like 'c:%' group by 1")(
-    lambda s, d: G.bfs(merged(s, d).where(c("kind").isin("depends_on", "calls")), keys(s, "s:9"), "in", 2, max_nodes=1_000_000)[0].where(F.startswith("node_key", F.lit("c:"))).join(table(s, d, "customer").where("c_acctbal > 5000").select(F.concat(F.lit("c:"), "c_custkey").alias("g")), c("node_key") == c("g"), "left").select(c("node_key").alias("entry"), "depth", c("g").isNotNull().alias("guarded"))
+    lambda s, d: G.bfs(merged(s, d).where(c("kind").isin("depends_on", "calls")), keys(s, "s:9"), "in", 2, max_nodes=None)[0].where(F.startswith("node_key", F.lit("c:"))).join(table(s, d, "customer").where("c_acctbal > 5000").select(F.concat(F.lit("c:"), "c_custkey").alias("g")), c("node_key") == c("g"), "left").select(c("node_key").alias("entry"), "depth", c("g").isNotNull().alias("guarded"))
 )
 query("c12_expectation_assignment")(lambda s, d: (lambda o: V.assign(o.where("o_orderstatus = 'O'").select("o_custkey", c("o_orderkey").alias("a"), c("o_totalprice").alias("x")).join(o.where("o_orderstatus = 'F'").select("o_custkey", c("o_orderkey").alias("b"), c("o_totalprice").alias("y")), "o_custkey").select("a", "b", (1 / (1 + F.abs(c("x") - c("y")))).alias("similarity"))))(table(s, d, "orders")))
 query("v15_container_pairs", "select x.n_nationkey as a, y.n_nationkey as b from nation x join nation y on x.n_regionkey = y.n_regionkey and x.n_nationkey % 2 = 0 and y.n_nationkey % 2 = 1")(lambda s, d: (lambda n: n.where("n_nationkey % 2 = 0").alias("x").join(n.where("n_nationkey % 2 = 1").alias("y"), "n_regionkey").select(c("x.n_nationkey").alias("a"), c("y.n_nationkey").alias("b")))(table(s, d, "nation")))

@@ -42,8 +42,8 @@ query("g1_out_edges", f"select source as at, kind, target as other, row_number()
 query("g2_neighbours", f"with q as (select a, b from {BOTH} where a in ('n:1', 'p:5', 'r:0')) select a as node_key, b as neighbour from q union select a, a from q")(lambda s, d: G.neighbours(merged(s, d), keys(s, "n:1", "p:5", "r:0")))
 query("g3_reverse_view", f"select target as node_key, source as called_by, confidence from {M} where kind = 'calls' and confidence >= 500")(lambda s, d: merged(s, d).where(schema.edge_filter(["calls"], 500)).select(F.col("target").alias("node_key"), F.col("source").alias("called_by"), "confidence"))
 _BFS = "with recursive e as ({e}), r(node_key, depth) as (select unnest([{seeds}]), 0 union select e.b, r.depth + 1 from r join e on e.a = r.node_key where r.depth < {depth}) select node_key, min(depth)::int as depth from r group by 1"
-query("g4_bounded_bfs", _BFS.format(e=f"select source as a, target as b from {M}", seeds="'r:1', 'n:3'", depth=3))(lambda s, d: G.bfs(merged(s, d), keys(s, "r:1", "n:3"), "out", 3)[0].select("node_key", "depth"))
-query("g4_bounded_bfs_in", _BFS.format(e=f"select target as a, source as b from {M} where confidence >= 900", seeds="'s:7'", depth=2))(lambda s, d: G.bfs(merged(s, d).where("confidence >= 900"), keys(s, "s:7"), "in", 2)[0].select("node_key", "depth"))
+query("g4_bounded_bfs", _BFS.format(e=f"select source as a, target as b from {M}", seeds="'r:1', 'n:3'", depth=3))(lambda s, d: G.bfs(merged(s, d), keys(s, "r:1", "n:3"), "out", 3, max_nodes=None)[0].select("node_key", "depth"))
+query("g4_bounded_bfs_in", _BFS.format(e=f"select target as a, source as b from {M} where confidence >= 900", seeds="'s:7'", depth=2))(lambda s, d: G.bfs(merged(s, d).where("confidence >= 900"), keys(s, "s:7"), "in", 2, max_nodes=None)[0].select("node_key", "depth"))
 query("g5_parents_are_edges", f"with recursive e as (select source as a, target as b from {M}), r(node_key, depth) as (select 'r:2', 0 union select e.b, r.depth + 1 from r join e on e.a = r.node_key where r.depth < 2) select node_key, min(depth)::int as depth, min(depth) = 0 or true as found from r group by 1")(
     lambda s, d: (lambda m: G.bfs(m, keys(s, "r:2"), "out", 2)[0].join(m.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("kind").alias("k")), (F.col("parent") == F.col("s")) & (F.col("node_key") == F.col("t")) & (F.col("kind") == F.col("k")), "left").select("node_key", "depth", ((F.col("depth") == 0) | F.col("s").isNotNull()).alias("found")))(merged(s, d))
 )

@@ -29,3 +29,8 @@ def test_few_keys_are_sent_to_the_edges(spark):
     for name in ("g2_neighbours", "g1_out_edges"):
         text = plan(catalog.QUERIES[name](spark, SF))
         assert "LeftSemi, BuildRight" in text and "SortMergeJoin" not in text
+
+
+def test_search_without_a_bound_of_nodes(spark):
+    nodes, short = G.bfs(hub(spark, 10_500), keys(spark, "h"), "out", 1, max_nodes=None)
+    assert not short and {r.idx for r in nodes.select("idx").collect()} == set(range(1, 10_502))
