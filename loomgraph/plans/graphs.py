@@ -45,7 +45,7 @@ _BFS = "with recursive e as ({e}), r(node_key, depth) as (select unnest([{seeds}
 query("g4_bounded_bfs", _BFS.format(e=f"select source as a, target as b from {M}", seeds="'r:1', 'n:3'", depth=3))(lambda s, d: G.bfs(merged(s, d), keys(s, "r:1", "n:3"), "out", 3, max_nodes=None)[0].select("node_key", "depth"))
 query("g4_bounded_bfs_in", _BFS.format(e=f"select target as a, source as b from {M} where confidence >= 900", seeds="'s:7'", depth=2))(lambda s, d: G.bfs(merged(s, d).where("confidence >= 900"), keys(s, "s:7"), "in", 2, max_nodes=None)[0].select("node_key", "depth"))
 query("g5_parents_are_edges", f"with recursive e as (select source as a, target as b from {M}), r(node_key, depth) as (select 'r:2', 0 union select e.b, r.depth + 1 from r join e on e.a = r.node_key where r.depth < 2) select node_key, min(depth)::int as depth, min(depth) = 0 or true as found from r group by 1")(
-    lambda s, d: (lambda m: G.bfs(m, keys(s, "r:2"), "out", 2)[0].join(m.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("kind").alias("k")), (F.col("parent") == F.col("s")) & (F.col("node_key") == F.col("t")) & (F.col("kind") == F.col("k")), "left").select("node_key", "depth", ((F.col("depth") == 0) | F.col("s").isNotNull()).alias("found")))(merged(s, d))
+    lambda s, d: (lambda m: G.bfs(m, keys(s, "r:2"), "out", 2, max_nodes=None)[0].join(m.select(F.col("source").alias("s"), F.col("target").alias("t"), F.col("kind").alias("k")), (F.col("parent") == F.col("s")) & (F.col("node_key") == F.col("t")) & (F.col("kind") == F.col("k")), "left").select("node_key", "depth", ((F.col("depth") == 0) | F.col("s").isNotNull()).alias("found")))(merged(s, d))
 )
 # Of the ways of fewest hops from a region to a part the first: at each level a node is found by its earliest discovered parent, then kind.
 query("g6_shortest_path", f"""with recursive e as (select source, kind, target, max(confidence) as confidence, case kind when 'contains' then 0 when 'declares' then 1 when 'calls' then 4 else 24 end as k from {M} where kind in ('contains', 'declares', 'calls') group by 1, 2, 3),

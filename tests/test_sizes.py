@@ -34,3 +34,9 @@ def test_few_keys_are_sent_to_the_edges(spark):
 def test_search_without_a_bound_of_nodes(spark):
     nodes, short = G.bfs(hub(spark, 10_500), keys(spark, "h"), "out", 1, max_nodes=None)
     assert not short and {r.idx for r in nodes.select("idx").collect()} == set(range(1, 10_502))
+
+
+def test_query_of_parents_has_no_bound_of_nodes(spark, monkeypatch):
+    asked, whole = [], G.bfs
+    monkeypatch.setattr(G, "bfs", lambda *a, **k: asked.append(k.get("max_nodes", 0)) or whole(*a, **k))
+    assert catalog.QUERIES["g5_parents_are_edges"](spark, SF).where("not found").count() == 0 and asked == [None]
