@@ -141,10 +141,10 @@ def clamp_nodes(requested: int) -> int:
     return min(requested, SUBGRAPH_NODES)
 
 
-def subgraph(edges: DataFrame, seeds: DataFrame, direction: str = "out", max_depth: int = 2, max_nodes: int = SUBGRAPH_NODES) -> tuple[DataFrame, DataFrame]:
-    """Nodes of a bounded search and all edges among them."""
-    nodes, _ = bfs(edges, seeds, direction, max_depth, clamp_nodes(max_nodes))
-    n = nodes.select(F.col("node_key").alias("__n"))
+def subgraph(edges: DataFrame, seeds: DataFrame, direction: str = "out", max_depth: int = 2, max_nodes: int | None = SUBGRAPH_NODES) -> tuple[DataFrame, DataFrame]:
+    """Nodes of a search bounded by depth and nodes (null: by depth alone) and all edges among them."""
+    nodes, _ = bfs(edges, seeds, direction, max_depth, max_nodes if max_nodes is None else clamp_nodes(max_nodes))
+    n = small(nodes.select(F.col("node_key").alias("__n")), FEW_KEYS)
     return nodes, edges.join(n, F.col("source") == F.col("__n"), "left_semi").join(n, F.col("target") == F.col("__n"), "left_semi")
 
 

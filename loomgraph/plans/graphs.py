@@ -61,7 +61,7 @@ select array_to_string(nodes, '>') as path, (len(nodes) - 1)::int as hops, c as
     lambda s, d: G.all_paths(merged(s, d).where("kind <> 'depends_on'"), "n:4", "p:100", 3, 10).select(F.array_join("nodes", ">").alias("path"), "hops", "confidence")
 )
 query("g9_subgraph", f"with recursive e as (select source as a, target as b from {M} where kind in ('contains', 'declares')), r(n, depth) as (select 'n:5', 0 union select e.b, r.depth + 1 from r join e on e.a = r.n where r.depth < 1) select source, kind, target from {M} where kind in ('contains', 'declares') and source in (select n from r) and target in (select n from r)")(
-    lambda s, d: G.subgraph(merged(s, d).where(F.col("kind").isin("contains", "declares")), keys(s, "n:5"), "out", 1)[1].select("source", "kind", "target")
+    lambda s, d: G.subgraph(merged(s, d).where(F.col("kind").isin("contains", "declares")), keys(s, "n:5"), "out", 1, max_nodes=None)[1].select("source", "kind", "target")
 )
 query("g11_symbol_search", f"""select n.node_key, n.name, case when lower(name) = 'ab' or lower(qualified_name) = 'ab' then 0 when lower(name) like 'an%' or lower(qualified_name) like 'an%' then 1 else 2 end::int as rank, coalesce(g.degree, 0) as degree
 from {N} n left join (select node_key, count(*) as degree from (select source as node_key from {M} union all select target from {M}) group by 1) g using (node_key)

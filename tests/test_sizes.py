@@ -40,3 +40,8 @@ def test_query_of_parents_has_no_bound_of_nodes(spark, monkeypatch):
     asked, whole = [], G.bfs
     monkeypatch.setattr(G, "bfs", lambda *a, **k: asked.append(k.get("max_nodes", 0)) or whole(*a, **k))
     assert catalog.QUERIES["g5_parents_are_edges"](spark, SF).where("not found").count() == 0 and asked == [None]
+
+
+def test_subgraph_without_a_bound_of_nodes(spark):
+    assert G.subgraph(hub(spark, 600), keys(spark, "h"), "out", 1, max_nodes=None)[1].count() == 600
+    assert G.subgraph(hub(spark, 600), keys(spark, "h"), "out", 1)[1].count() == 499
