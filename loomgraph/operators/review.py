@@ -32,7 +32,8 @@ RULES = (
 
 
 def rule_table(spark) -> DataFrame:
-    return spark.createDataFrame(list(RULES), "rule string, category string, weight double, floor string")
+    """The rules, a few rows that joins send to all tasks, so that no rule's signals meet in one."""
+    return F.broadcast(spark.createDataFrame(list(RULES), "rule string, category string, weight double, floor string"))
 
 
 def level_number(level: Column) -> Column:

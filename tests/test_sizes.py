@@ -45,3 +45,13 @@ def test_query_of_parents_has_no_bound_of_nodes(spark, monkeypatch):
 def test_subgraph_without_a_bound_of_nodes(spark):
     assert G.subgraph(hub(spark, 600), keys(spark, "h"), "out", 1, max_nodes=None)[1].count() == 600
     assert G.subgraph(hub(spark, 600), keys(spark, "h"), "out", 1)[1].count() == 499
+
+
+def sent(name, column, spark):
+    """Whether the right side of a query's join on a column is sent to all tasks."""
+    return bool(re.search(rf"BroadcastHashJoin \[{column}#\d+\], \[{column}#\d+\], Inner, BuildRight", plan(catalog.QUERIES[name](spark, SF))))
+
+
+def test_rules_are_sent_to_the_signals(spark):
+    """No rule's signals meet in one task."""
+    assert sent("a9_contribution", "rule", spark)
