@@ -55,3 +55,7 @@ def sent(name, column, spark):
 def test_rules_are_sent_to_the_signals(spark):
     """No rule's signals meet in one task."""
     assert sent("a9_contribution", "rule", spark)
+
+
+def test_risk_scores_send_the_rules(spark):
+    assert sent("a7_risk_score", "rule", spark)
