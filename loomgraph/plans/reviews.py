@@ -116,7 +116,7 @@ query("a13_scope_narrowing", "with g as (select l_suppkey, l_returnflag, avg((l_
 query("a19_state_counts", "select coalesce(o_orderstatus, 'all') as state, count(*) as n from orders group by rollup (o_orderstatus)")(lambda s, d: table(s, d, "orders").rollup("o_orderstatus").count().select(F.coalesce("o_orderstatus", F.lit("all")).alias("state"), c("count").alias("n")))
 query("a20_queue_depth", "select event_type, count(*) filter (value > 50) as queued from events group by 1")(lambda s, d: ev(s, d).groupBy("event_type").agg(F.count_if(c("value") > 50).alias("queued")))
 query("a21_feedback_rates", "select coalesce(d.source, 'all') as reviewer, count(*) as n, avg(quality) as accepted, avg(toxic) as false_positive from labels l join documents d using (doc_id) group by rollup (d.source)")(lambda s, d: table(s, d, "labels").join(table(s, d, "documents"), "doc_id").rollup("source").agg(F.count("*").alias("n"), F.avg("quality").alias("accepted"), F.avg("toxic").alias("false_positive")).select(F.coalesce("source", F.lit("all")).alias("reviewer"), "n", "accepted", "false_positive"))
-query("a22_cost_total", "select l_returnflag, sum(cast(round(l_quantity * 1000 * case l_returnflag when 'A' then 3 when 'N' then 5 else 2 end) as bigint))::bigint as micros from lineitem group by 1")(lambda s, d: table(s, d, "lineitem").join(s.createDataFrame([("A", 3), ("N", 5), ("R", 2)], "l_returnflag string, price int"), "l_returnflag").groupBy("l_returnflag").agg(F.sum(F.round(c("l_quantity") * 1000 * c("price")).cast("long")).alias("micros")))
+query("a22_cost_total", "select l_returnflag, sum(cast(round(l_quantity * 1000 * case l_returnflag when 'A' then 3 when 'N' then 5 else 2 end) as bigint))::bigint as micros from lineitem group by 1")(lambda s, d: table(s, d, "lineitem").join(F.broadcast(s.createDataFrame([("A", 3), ("N", 5), ("R", 2)], "l_returnflag string, price int")), "l_returnflag").groupBy("l_returnflag").agg(F.sum(F.round(c("l_quantity") * 1000 * c("price")).cast("long")).alias("micros")))
 query("a23_agreement", "select o_custkey, least((count(distinct o_orderpriority) - 1) / 2, 1)::double as agreement from orders group by 1")(lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.least((F.countDistinct("o_orderpriority") - 1) / 2, F.lit(1.0)).alias("agreement")))
 query("a26_tolerance", "select l_suppkey from lineitem group by 1 having count(*) filter (l_returnflag = 'R') / count(*) > 0.3")(lambda s, d: table(s, d, "lineitem").groupBy("l_suppkey").agg((F.count_if(c("l_returnflag") == "R") / F.count("*")).alias("r")).where("r > 0.3").select("l_suppkey"))
 query("a29_truncation", "select l_returnflag, l_linestatus, sum(l_linenumber)::bigint as dropped, max(l_linenumber) as most from lineitem group by 1, 2")(lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_linenumber").alias("dropped"), F.max("l_linenumber").alias("most")))

@@ -59,3 +59,7 @@ def test_rules_are_sent_to_the_signals(spark):
 
 def test_risk_scores_send_the_rules(spark):
     assert sent("a7_risk_score", "rule", spark)
+
+
+def test_prices_are_sent_to_the_lines(spark):
+    assert sent("a22_cost_total", "l_returnflag", spark)
