@@ -98,22 +98,32 @@ def bfs(edges: DataFrame, seeds: DataFrame, direction: str = "out", max_depth: i
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, direction: str = "out", max_depth: int = 6) -> DataFrame:
-    """Steps of a path of fewest hops: step, from, kind, to, confidence; no rows if there is none or the ends are one."""
+    """Steps of a path of fewest hops: step, from, kind, to, confidence; no rows if there is none or the ends are one.
+
+    A search back from the target finds what can lie on such a path; only edges among these nodes are searched from the source.
+    """
     spark = edges.sparkSession
     if direction == "both":
         raise ValueError("a path has a direction")
-    seen, _ = bfs(edges, spark.createDataFrame([(source,)], "node_key string"), direction, max_depth, max_nodes=1 << 60)
+    none = spark.createDataFrame([], "step int, from string, kind string, to string, confidence int")
+    if source == target:
+        return none
+    one = lambda k: spark.createDataFrame([(k,)], "node_key string")
+    near, _ = bfs(edges, one(target), "in" if direction == "out" else "out", max_depth, max_nodes=None, until=source)
+    ends = small(near.select(F.col("node_key").alias("__n")), FEW_KEYS)
+    edges = edges.join(ends, F.col("source") == F.col("__n"), "left_semi").join(ends, F.col("target") == F.col("__n"), "left_semi")
+    seen, _ = bfs(edges, one(source), direction, max_depth, max_nodes=None, until=target)
     conf = directed(edges, direction).groupBy("at", "other", "kind").agg(F.max("confidence").alias("c"))
     walk = spark.createDataFrame([(target, 0)], "at_node string, back int")
     steps = None
     row = seen.where(F.col("node_key") == target).select("depth").head()
     for k in range(row[0] if row else 0):
-        step = walk.join(seen, F.col("at_node") == F.col("node_key")).select(F.lit(row[0] - k).alias("step"), F.col("parent").alias("from"), "kind", F.col("node_key").alias("to"))
+        step = cut(F.broadcast(walk).join(seen, F.col("at_node") == F.col("node_key")).select(F.lit(row[0] - k).alias("step"), F.col("parent").alias("from"), "kind", F.col("node_key").alias("to")))
         steps = step if steps is None else steps.unionByName(step)
         walk = step.select(F.col("from").alias("at_node"), F.lit(k + 1).alias("back"))
     if steps is None:
-        return spark.createDataFrame([], "step int, from string, kind string, to string, confidence int")
-    return steps.join(conf.withColumnRenamed("kind", "k"), (F.col("from") == F.col("at")) & (F.col("to") == F.col("other")) & (F.col("kind") == F.col("k"))).select("step", "from", "kind", "to", F.col("c").alias("confidence"))
+        return none
+    return F.broadcast(steps).join(conf.withColumnRenamed("kind", "k"), (F.col("from") == F.col("at")) & (F.col("to") == F.col("other")) & (F.col("kind") == F.col("k"))).select("step", "from", "kind", "to", F.col("c").alias("confidence"))
 
 
 def path_confidence(steps: Column) -> Column:

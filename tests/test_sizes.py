@@ -63,3 +63,12 @@ def test_risk_scores_send_the_rules(spark):
 
 def test_prices_are_sent_to_the_lines(spark):
     assert sent("a22_cost_total", "l_returnflag", spark)
+
+
+def test_shortest_path_searches_what_leads_to_the_target(spark, monkeypatch):
+    """400 leaves beside the path are not visited, and the way is that of the whole search."""
+    e = hub(spark, 400).unionByName(spark.createDataFrame([("h", "calls", "b", 500), ("h", "calls", "a", 700), ("b", "contains", "t", 900), ("a", "calls", "t", 800), ("x7", "calls", "y", 9)], EDGE))
+    seen, whole = [], G.bfs
+    monkeypatch.setattr(G, "bfs", lambda *a, **k: (lambda r: seen.append(r[0].count()) or r)(whole(*a, **k)))
+    got = {(r.step, r["from"], r.kind, r.to, r.confidence) for r in G.shortest_path(e, "h", "t").collect()}
+    assert got == {(1, "h", "calls", "a", 700), (2, "a", "calls", "t", 800)} and max(seen) <= 4
