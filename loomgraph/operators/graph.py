@@ -209,15 +209,16 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 
 def widest(edges: DataFrame, seeds: DataFrame, direction: str = "in", max_depth: int = 6) -> DataFrame:
-    """node_key, confidence: the best least-confidence over ways of at most max_depth steps."""
-    e = directed(edges, direction).groupBy("at", "other").agg(F.max("confidence").alias("c"))
+    """node_key, confidence: the best least-confidence over ways of at most max_depth steps. Each step follows only nodes that the one before found or bettered."""
+    e = directed(edges, direction).select("at", "other", F.col("confidence").alias("c"))
     best = cut(seeds.select("node_key", F.lit(1000).alias("confidence")).distinct())
+    front = best
     for _ in range(max_depth):
-        step = best.join(e, F.col("node_key") == F.col("at")).select(F.col("other").alias("node_key"), F.least("confidence", "c").alias("confidence"))
-        new = cut(best.unionByName(step).groupBy("node_key").agg(F.max("confidence").alias("confidence")))
-        changed = new.exceptAll(best).limit(1).count()
-        best = new
-        if not changed:
+        step = front.join(at_keys(e, front), F.col("node_key") == F.col("at")).groupBy("other").agg(F.max(F.least("confidence", "c")).alias("confidence")).withColumnRenamed("other", "node_key")
+        old = best.withColumnRenamed("confidence", "old")
+        new = cut(old.join(step, "node_key", "full_outer").select("node_key", F.greatest("old", "confidence").alias("confidence"), (F.col("old").isNull() | (F.col("confidence") > F.col("old"))).alias("better")))
+        best, front = new.select("node_key", "confidence"), new.where("better").select("node_key", "confidence")
+        if not front.limit(1).count():
             break
     return best
 

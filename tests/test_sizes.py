@@ -72,3 +72,11 @@ def test_shortest_path_searches_what_leads_to_the_target(spark, monkeypatch):
     monkeypatch.setattr(G, "bfs", lambda *a, **k: (lambda r: seen.append(r[0].count()) or r)(whole(*a, **k)))
     got = {(r.step, r["from"], r.kind, r.to, r.confidence) for r in G.shortest_path(e, "h", "t").collect()}
     assert got == {(1, "h", "calls", "a", 700), (2, "a", "calls", "t", 800)} and max(seen) <= 4
+
+
+def test_widest_follows_what_got_better(spark, monkeypatch):
+    asked, at = [], G.at_keys
+    monkeypatch.setattr(G, "at_keys", lambda e, k: asked.append(k.count()) or at(e, k))
+    e = spark.createDataFrame([("b", "calls", "a", 500), ("c", "calls", "a", 900), ("b", "calls", "c", 800), ("d", "calls", "b", 700)], EDGE)
+    assert {tuple(r) for r in G.widest(e, keys(spark, "a"), "in", 4).collect()} == {("a", 1000), ("b", 800), ("c", 900), ("d", 700)}
+    assert asked == [1, 2, 2, 1]
