@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators.graph import components, directed
+from loomgraph.operators.graph import at_keys, components, directed
 
 
 def expand(edges: DataFrame, seeds: DataFrame, direction: str, depth: int, cap: int, floor: int = 0) -> DataFrame:
@@ -16,10 +16,11 @@ def expand(edges: DataFrame, seeds: DataFrame, direction: str, depth: int, cap:
 
     Weak trails (under the floor) are listed but not followed; each level keeps `cap` nodes a seed by the confidence of their edge, then key.
     """
-    e = directed(edges, direction).groupBy("at", "other").agg(F.max("confidence").alias("c"))
+    around = directed(edges, direction)
     level = seeds.select(F.col("node_key").alias("seed"), F.col("node_key").alias("node"), F.lit(0).alias("distance"), F.lit(1000).alias("confidence"), F.array("node_key").alias("path"))
     done = None
     for k in range(1, depth + 1):
+        e = at_keys(around, level.select(F.col("node").alias("node_key"))).groupBy("at", "other").agg(F.max("confidence").alias("c"))
         step = level.where(F.col("confidence") >= floor).join(e, F.col("node") == F.col("at")).where(~F.array_contains("path", F.col("other")))
         step = step.withColumn("rn", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("c"), "other"))).where(F.col("rn") <= cap)
         level = step.select("seed", F.col("other").alias("node"), F.lit(k).alias("distance"), F.least("confidence", "c").alias("confidence"), F.concat("path", F.array("other")).alias("path"))

@@ -80,3 +80,9 @@ def test_widest_follows_what_got_better(spark, monkeypatch):
     e = spark.createDataFrame([("b", "calls", "a", 500), ("c", "calls", "a", 900), ("b", "calls", "c", 800), ("d", "calls", "b", 700)], EDGE)
     assert {tuple(r) for r in G.widest(e, keys(spark, "a"), "in", 4).collect()} == {("a", 1000), ("b", 800), ("c", 900), ("d", 700)}
     assert asked == [1, 2, 2, 1]
+
+
+def test_expansion_sends_its_seeds(spark):
+    text = plan(catalog.QUERIES["g13_caller_expansion"](spark, SF))
+    assert "LeftSemi, BuildRight" in text and text.index("LeftSemi, BuildRight") > text.rindex("functions=[max(confidence")
+    assert {r.node for r in P.expand(hub(spark, 3), keys(spark, "h"), "out", 1, 2).collect()} == {"x0", "x1"}
