@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.common import cut
 from loomgraph.operators.graph import at_keys, components, directed
 
 
@@ -41,10 +42,20 @@ def removed_callees(base: DataFrame, head: DataFrame, seeds: DataFrame) -> DataF
     return call(base).join(call(head), ["seed", "node"], "left_anti")
 
 
-def siblings(implements: DataFrame, members: DataFrame) -> DataFrame:
-    """member, sibling: members of equal name of two classes (owner) that implement one contract."""
-    m = members.join(implements, "owner").select("contract", "name", "key")
-    return m.alias("x").join(m.alias("y"), ["contract", "name"]).where("x.key <> y.key").select(F.col("x.key").alias("member"), F.col("y.key").alias("sibling")).distinct()
+def siblings(implements: DataFrame, members: DataFrame, most: int = 4096) -> DataFrame:
+    """member, sibling: members of equal name of two classes (owner) that implement one contract.
+
+    All pairs of a contract and name are asked for: they are made in parts of `most` members against all, each part a task's.
+    A pair that several contracts make is kept at the least of them, so pairs are never exchanged.
+    """
+    m = members.join(implements, "owner").where("contract is not null and name is not null and key is not null").select("key", F.struct("contract", "name").alias("g"))
+    m = cut(m.groupBy("key").agg(F.sort_array(F.collect_set("g")).alias("gs")).select("key", "gs", F.explode("gs").alias("g")))
+    parts = -(-(m.groupBy("g").count().agg(F.max("count")).head()[0] or 1) // most)
+    n = max(int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    x = m.select(F.col("key").alias("member"), F.col("gs").alias("xs"), "g", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part")).repartition(n, "g", "part")
+    y = m.select(F.col("key").alias("sibling"), F.col("gs").alias("ys"), "g", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).repartition(n, "g", "part")
+    first = (F.size("xs") == 1) | (F.size("ys") == 1) | (F.col("g") == F.array_min(F.array_intersect("xs", "ys")))
+    return x.join(y, ["g", "part"]).where((F.col("member") != F.col("sibling")) & first).select("member", "sibling")
 
 
 def test_scores(signals: DataFrame, include: float = 0.6, covered: float = 0.8) -> DataFrame:
@@ -62,7 +73,7 @@ def clusters(links: DataFrame, members: DataFrame) -> DataFrame:
 def split_oversized(links: DataFrame, cluster_of: DataFrame, most: int = 12) -> DataFrame:
     """member, part (least member): clusters of over `most` members lose their weakest links (weight, ends), one after the other, until all parts fit. A cluster is a pull request's, so one task holds it."""
 
-    def cut(df: pd.DataFrame) -> pd.DataFrame:
+    def strongest(df: pd.DataFrame) -> pd.DataFrame:
         # What is left after the weakest links go is a run of the strongest: they are joined until a part would not fit.
         nodes = sorted(set(df.a) | set(df.b))
         parent, size = {n: n for n in nodes}, dict.fromkeys(nodes, 1)
@@ -83,7 +94,7 @@ def split_oversized(links: DataFrame, cluster_of: DataFrame, most: int = 12) ->
 
     kind = links.schema["a"].dataType.simpleString()
     j = links.join(cluster_of, F.col("a") == F.col("member")).select("cluster", "a", "b", "weight")
-    return j.groupBy("cluster").applyInPandas(cut, f"member {kind}, part {kind}")
+    return j.groupBy("cluster").applyInPandas(strongest, f"member {kind}, part {kind}")
 
 
 def plan_rank(clusters: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 import re
 
 import __spark_entry__  # noqa: F401  (registers the queries)
+from loomgraph.operators import control as C
 from loomgraph.operators import graph as G
 from loomgraph.operators import impact as P
+from loomgraph.operators import vector as E
 from loomgraph.plans import catalog
 from pyspark.sql import functions as F
 
@@ -86,3 +88,14 @@ def test_expansion_sends_its_seeds(spark):
     text = plan(catalog.QUERIES["g13_caller_expansion"](spark, SF))
     assert "LeftSemi, BuildRight" in text and text.index("LeftSemi, BuildRight") > text.rindex("functions=[max(confidence")
     assert {r.node for r in P.expand(hub(spark, 3), keys(spark, "h"), "out", 1, 2).collect()} == {"x0", "x1"}
+
+
+def test_siblings_exchange_no_pairs(spark):
+    """Parts and several contracts of a pair change nothing; each pair comes once."""
+    implements = spark.createDataFrame([(o, c) for o, c in [(0, 0), (0, 1), (1, 0), (1, 1), (2, 1)]], "owner long, contract long")
+    members = spark.createDataFrame([(k % 3, k % 2, k) for k in range(40)], "owner long, name long, key long")
+    rows = [(c, k % 2, k) for k in range(40) for o, c in [(0, 0), (0, 1), (1, 0), (1, 1), (2, 1)] if o == k % 3]
+    want = {(x, y) for c, n, x in rows for d, m, y in rows if (c, n) == (d, m) and x != y}
+    got = P.siblings(implements, members, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "part" in plan(got) and "HashAggregate" not in plan(got)
