@@ -26,24 +26,22 @@ def reserve(requests: DataFrame, key: str, limit: int) -> DataFrame:
 
 
 def job_states(events: DataFrame, key: str, max_attempts: int = 3) -> DataFrame:
-    """key, state, attempts after claims, completions and failures (what, order), fenced by state: a claim needs a queued job, an end a running one."""
-
-    def fold(groups: pd.Series) -> pd.Series:
-        out = []
-        for g in groups:
-            state, attempts = "queued", 0
-            for r in g:
-                if r["what"] == "claim" and state == "queued":
-                    state, attempts = "running", attempts + 1
-                elif r["what"] == "complete" and state == "running":
-                    state = "done"
-                elif r["what"] == "fail" and state == "running":
-                    state = "dead" if attempts >= max_attempts else "queued"
-            out.append({"state": state, "attempts": attempts})
-        return pd.DataFrame(out)
-
-    run = F.pandas_udf(fold, "state string, attempts int")
-    return events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("order", "what"))).alias("g")).select(key, run("g").alias("x")).select(key, "x.state", "x.attempts")
+    """key, state, attempts after claims, completions and failures (what, order), fenced by state: a claim needs a queued job, an end a running one. A key is one ordered array, folded where it is."""
+
+    def step(now, r):
+        state, attempts = now["state"], now["attempts"]
+        to = lambda s, n: F.struct(s.alias("state"), n.alias("attempts"))
+        ran = state == "running"
+        return (
+            F.when((r["what"] == "claim") & (state == "queued"), to(F.lit("running"), attempts + 1))
+            .when((r["what"] == "complete") & ran, to(F.lit("done"), attempts))
+            .when((r["what"] == "fail") & ran, to(F.when(attempts >= max_attempts, "dead").otherwise("queued"), attempts))
+            .otherwise(to(state, attempts))
+        )
+
+    first = F.struct(F.lit("queued").alias("state"), F.lit(0).alias("attempts"))
+    g = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("order", "what"))).alias("g"))
+    return g.select(key, F.aggregate("g", first, step).alias("x")).select(key, "x.state", "x.attempts")
 
 
 def invalidation(changed: DataFrame, renamed: DataFrame, edges: DataFrame) -> DataFrame:

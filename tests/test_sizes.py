@@ -99,3 +99,11 @@ def test_siblings_exchange_no_pairs(spark):
     got = P.siblings(implements, members, 3)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "part" in plan(got) and "HashAggregate" not in plan(got)
+
+
+def test_job_states_run_without_python(spark):
+    rows = [("a", "fail", 1), ("a", "claim", 2), ("a", "claim", 3), ("a", "fail", 4), ("a", "claim", 5), ("a", "complete", 6), ("a", "claim", 7), ("b", "complete", 1)]
+    rows += [("c", w, i) for i, w in enumerate(["claim", "fail"] * 4)]
+    got = C.job_states(spark.createDataFrame(rows, "k string, what string, order int"), "k")
+    assert {tuple(r) for r in got.collect()} == {("a", "done", 2), ("b", "queued", 0), ("c", "dead", 3)}
+    assert "Python" not in plan(got) and "Pandas" not in plan(got)
