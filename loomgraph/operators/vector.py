@@ -34,9 +34,20 @@ def features(tokens: Column) -> Column:
     return F.concat(F.transform(tokens, lambda t: F.concat(F.lit("u:"), t)), pairs, thirds)
 
 
+def counted(items: Column) -> Column:
+    """f, tf: the distinct items of an array without nulls and how often they occur, by the runs of the sorted array."""
+
+    def runs(a: Column) -> Column:
+        starts = F.when(F.size(a) > 0, F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: ~F.get(a, i).eqNullSafe(F.get(a, i - 1))))
+        each = lambda s: F.transform(s, lambda i, j: F.struct(F.get(a, i).alias("f"), (F.coalesce(F.get(s, j + 1), F.size(a)) - i).cast("bigint").alias("tf")))
+        return F.get(F.transform(F.array(starts), each), F.lit(0))
+
+    return F.get(F.transform(F.array(F.sort_array(items)), runs), F.lit(0))
+
+
 def embed(docs: DataFrame, key: str, tokens: Column, dims: int = 256) -> DataFrame:
-    """key, bucket, value: sparse hashed features of unit length: signed 1 + ln tf by bucket of the md5, half of it for trigrams."""
-    f = docs.select(F.col(key), F.explode(features(tokens)).alias("f")).groupBy(key, "f").agg(F.count("*").alias("tf"))
+    """key, bucket, value: sparse hashed features of unit length: signed 1 + ln tf by bucket of the md5, half of it for trigrams. A row is a whole text: its features are counted in it, and only sums by bucket are exchanged."""
+    f = docs.select(F.col(key), F.explode(counted(features(tokens))).alias("x")).select(key, "x.f", "x.tf")
     h = F.conv(F.substring(F.md5("f"), 1, 8), 16, 10).cast("bigint")
     w = f.select(key, (h % dims).cast("int").alias("bucket"), (F.when(F.floor(h / dims) % 2 == 0, 1.0).otherwise(-1.0) * F.when(F.startswith("f", F.lit("t:")), 0.5).otherwise(1.0) * (1 + F.log("tf"))).alias("v")).groupBy(key, "bucket").agg(F.sum("v").alias("v"))
     n = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))

@@ -107,3 +107,12 @@ def test_job_states_run_without_python(spark):
     got = C.job_states(spark.createDataFrame(rows, "k string, what string, order int"), "k")
     assert {tuple(r) for r in got.collect()} == {("a", "done", 2), ("b", "queued", 0), ("c", "dead", 3)}
     assert "Python" not in plan(got) and "Pandas" not in plan(got)
+
+
+def test_features_are_counted_in_their_text(spark):
+    """Features are not exchanged, only sums by bucket."""
+    docs = spark.createDataFrame([(1, ["ab", "cd", "ab"]), (2, [])], "id long, t array<string>")
+    assert docs.select("id", F.explode(E.counted(F.col("t"))).alias("x")).select("id", "x.*").collect() == [(1, "ab", 2), (1, "cd", 1)]
+    text = plan(E.embed(docs, "id", F.col("t"), 8))
+    assert "hashpartitioning(id" in text and ", f#" not in text.split("Exchange hashpartitioning", 1)[1].split("\n", 1)[0]
+    assert text.count("Exchange hashpartitioning") <= 2 and E.embed(docs, "id", F.col("t"), 8).where("id = 2").count() == 0
