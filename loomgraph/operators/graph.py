@@ -224,16 +224,17 @@ def widest(edges: DataFrame, seeds: DataFrame, direction: str = "in", max_depth:
 
 
 def follow(chain: DataFrame, max_steps: int = 64) -> DataFrame:
-    """from_key, to_key: each key's last successor over rows from_key, to_key; a cycle ends where it would close."""
-    now = chain.select(F.col("from_key"), F.col("to_key"), F.array("from_key", "to_key").alias("seen"))
-    for _ in range(max_steps):
-        nxt = now.join(chain.select(F.col("from_key").alias("k"), F.col("to_key").alias("t")), F.col("to_key") == F.col("k"), "left")
-        go = F.col("t").isNotNull() & ~F.array_contains("seen", F.col("t"))
-        new = cut(nxt.select("from_key", F.when(go, F.col("t")).otherwise(F.col("to_key")).alias("to_key"), F.when(go, F.concat("seen", F.array("t"))).otherwise(F.col("seen")).alias("seen"), go.alias("moved")))
-        now = new.drop("moved")
-        if not new.where("moved").limit(1).count():
+    """from_key, to_key: each key's last successor over rows from_key (each once), to_key, after max_steps more steps at most; a cycle ends where it would close. Ways are doubled, so few joins find them."""
+    now, steps = cut(chain.select("from_key", F.array("from_key", "to_key").alias("way"))), 1
+    while steps < max_steps + 1:
+        rest = now.select(F.col("from_key").alias("k"), F.slice("way", 2, max_steps + 1).alias("rest"))
+        joined = now.join(rest, F.element_at("way", -1) == F.col("k"), "left")
+        way = F.slice(F.concat("way", F.coalesce("rest", F.array().cast(rest.schema["rest"].dataType))), 1, max_steps + 2)
+        now, steps = cut(joined.select("from_key", way.alias("way"), (F.col("k").isNotNull() & (F.size("way") < max_steps + 2)).alias("moved"))), steps * 2
+        if not now.where("moved").limit(1).count():
             break
-    return now.select("from_key", "to_key")
+    # Once a key comes again, only keys of its cycle follow.
+    return now.select("from_key", F.element_at(F.array_distinct("way"), -1).alias("to_key"))
 
 
 def validate(nodes: DataFrame, edges: DataFrame, rules: DataFrame | None = None) -> DataFrame:

@@ -116,3 +116,12 @@ def test_features_are_counted_in_their_text(spark):
     text = plan(E.embed(docs, "id", F.col("t"), 8))
     assert "hashpartitioning(id" in text and ", f#" not in text.split("Exchange hashpartitioning", 1)[1].split("\n", 1)[0]
     assert text.count("Exchange hashpartitioning") <= 2 and E.embed(docs, "id", F.col("t"), 8).where("id = 2").count() == 0
+
+
+def test_ways_are_doubled(spark, monkeypatch):
+    """A way of 65 steps is found by 7 joins, longer ones end there, and a cycle ends where it would close."""
+    made, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: made.append(1) or cut(df))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201), (201, 202), (202, 201), (300, 300)], "from_key long, to_key long")
+    want = {i: min(i + 65, 100) for i in range(100)} | {200: 202, 201: 202, 202: 201, 300: 300}
+    assert {r.from_key: r.to_key for r in G.follow(chain).collect()} == want and len(made) <= 8
