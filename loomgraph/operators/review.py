@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,38 +108,29 @@ def select_greedy(items: DataFrame, keys: Sequence[str], budget: int, caps: dict
     """keys, item, taken (tokens or null), reason of items (keys, item, score, tokens, cheaper_tokens, pinned, category and, if given, kind). Pinned items come first, by kind, falling score and id, then the rest by falling score per token, falling score and id; items that would pass a category's cap or the budget are left out and take nothing of either; a cheaper form is taken where only it fits, if the item is pinned or scores 0.5.
 
     One group is one reviewer's package for one cluster, whose size the caps of candidates bound; it is an ordered array
-    that is folded as a whole, a batch of groups at a time.
+    that is folded as a whole, where it is.
     """
 
-    def one(group) -> list[dict]:
-        room, left, out = budget, dict(caps), []
-        for r in group:
-            forms = [r["tokens"]] + ([r["cheaper_tokens"]] if r["cheaper_tokens"] is not None and (r["pinned"] or r["score"] >= 0.5) else [])
-            cost = next((t for t in forms if t <= room), None)
-            reason = "count" if left.get(r["category"], 1) <= 0 else "tokens" if cost is None else "selected"
-            if reason == "selected":
-                room -= cost
-                if r["category"] in left:
-                    left[r["category"]] -= 1
-            out.append({"item": r["item"], "taken": int(cost) if reason == "selected" else None, "reason": reason})
-        return out
-
-    kind = items.schema["item"].dataType.simpleString()
-    run = _folded(one, f"array<struct<item:{kind},taken:bigint,reason:string>>")
+    names = list(caps)
+    at = F.array_position(F.array(*map(F.lit, names)), F.col("category")).cast("int") if names else F.lit(0)
+
+    def step(now, r):
+        # What an item takes; -1: no room for it, -2: its category's cap is reached.
+        room, left = now["room"], now["left"]
+        cheap = r["cheaper_tokens"].isNotNull() & (r["pinned"] | (r["score"] >= 0.5)) & (r["cheaper_tokens"] <= room)
+        cost = F.when(r["tokens"] <= room, r["tokens"]).when(cheap, r["cheaper_tokens"]).otherwise(-1).cast("bigint")
+        took = F.when((r["at"] > 0) & (F.get(left, r["at"] - 1) <= 0), F.lit(-2).cast("bigint")).otherwise(cost)
+        rest = lambda x: F.transform(left, lambda n, i: n - ((x >= 0) & (i == r["at"] - 1)).cast("int"))
+        return F.get(F.transform(F.array(took), lambda x: F.struct((room - F.greatest(x, F.lit(0))).alias("room"), rest(x).alias("left"), F.concat(now["out"], F.array(x)).alias("out"))), F.lit(0))
+
+    first_state = F.struct(F.lit(budget).cast("bigint").alias("room"), F.array(*(F.lit(caps[n]).cast("int") for n in names)).cast("array<int>").alias("left"), F.array().cast("array<bigint>").alias("out"))
     rank = F.array_position(F.array(*map(F.lit, PINNED_KINDS)), F.col("kind") if "kind" in items.columns else F.lit(""))
     first = F.when(F.col("pinned"), F.when(rank > 0, rank).otherwise(len(PINNED_KINDS) + 1)).otherwise(len(PINNED_KINDS) + 2)
     ratio = F.when(F.col("pinned"), 0.0).otherwise(-F.col("score") / F.greatest("tokens", F.lit(1)))
-    order = F.struct(first.alias("first"), ratio.alias("r"), (-F.col("score")).alias("s"), "item", "tokens", "cheaper_tokens", "pinned", "category", "score")
-    return items.groupBy(*keys).agg(F.sort_array(F.collect_list(order)).alias("g")).select(*keys, F.explode(run("g")).alias("x")).select("x.item", "x.taken", "x.reason", *keys)
-
-
-def _folded(one, schema: str):
-    """A fold of one array as a function of a column of arrays."""
-
-    def fold(groups: pd.Series) -> pd.Series:
-        return pd.Series([one(g) for g in groups])
-
-    return F.pandas_udf(fold, schema)
+    order = F.struct(first.alias("first"), ratio.alias("r"), (-F.col("score")).alias("s"), "item", "tokens", "cheaper_tokens", "pinned", "score", F.coalesce(at, F.lit(0)).alias("at"))
+    g = items.groupBy(*keys).agg(F.sort_array(F.collect_list(order)).alias("g"))
+    x = g.select(*keys, F.explode(F.arrays_zip(F.col("g.item").alias("item"), F.aggregate("g", first_state, step, lambda s: s["out"]).alias("took"))).alias("x"))
+    return x.select("x.item", F.when(F.col("x.took") >= 0, F.col("x.took")).alias("taken"), F.when(F.col("x.took") >= 0, "selected").when(F.col("x.took") == -2, "count").otherwise("tokens").alias("reason"), *keys)
 
 
 def similar_sets(sets: DataFrame, keys: Sequence[str], col: str, least: float) -> DataFrame:

@@ -125,3 +125,7 @@ def test_ways_are_doubled(spark, monkeypatch):
     chain = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201), (201, 202), (202, 201), (300, 300)], "from_key long, to_key long")
     want = {i: min(i + 65, 100) for i in range(100)} | {200: 202, 201: 202, 202: 201, 300: 300}
     assert {r.from_key: r.to_key for r in G.follow(chain).collect()} == want and len(made) <= 8
+
+
+def test_selection_runs_without_python(spark):
+    assert not any(k in plan(catalog.QUERIES["t9_greedy_selection"](spark, SF)) for k in ("Python", "Pandas"))
