@@ -133,14 +133,19 @@ def select_greedy(items: DataFrame, keys: Sequence[str], budget: int, caps: dict
     return x.select("x.item", F.when(F.col("x.took") >= 0, F.col("x.took")).alias("taken"), F.when(F.col("x.took") >= 0, "selected").when(F.col("x.took") == -2, "count").otherwise("tokens").alias("reason"), *keys)
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """The side of a join that is met by sorting, never sent to the driver: arrays of like items exchange as a few bytes, by which Spark would judge them small, and are many times that in memory."""
+    return df.hint("merge")
+
+
 def similar_sets(sets: DataFrame, keys: Sequence[str], col: str, least: float) -> DataFrame:
     """keys, x, y: unlike sets (distinct rows of keys and col, a sorted array) of equal keys with a Jaccard similarity of `least` or more. They meet by one of their rarest elements: of n, all but the last ceil(least * n) - 1."""
     sets = sets.select(*keys, col)
     each = sets.withColumn("__t", F.explode(col))
-    rare = each.join(each.groupBy(*keys, "__t").agg(F.count("*").alias("__n")), [*keys, "__t"]).groupBy(*keys, col).agg(F.sort_array(F.collect_list(F.struct("__n", "__t"))).alias("__p"))
+    rare = each.join(_sorted(each.groupBy(*keys, "__t").agg(F.count("*").alias("__n"))), [*keys, "__t"]).groupBy(*keys, col).agg(F.sort_array(F.collect_list(F.struct("__n", "__t"))).alias("__p"))
     prefix = F.slice("__p", F.lit(1), F.size("__p") - F.ceil(F.size("__p") * least - 1e-9).cast("int") + 1)
     met = rare.select(*keys, col, F.explode(F.transform(prefix, lambda e: e["__t"])).alias("__t"))
-    both = met.withColumnRenamed(col, "x").join(met.withColumnRenamed(col, "y"), [*keys, "__t"])
+    both = met.withColumnRenamed(col, "x").join(_sorted(met.withColumnRenamed(col, "y")), [*keys, "__t"])
     return both.where((F.col("x") < F.col("y")) & (N.jaccard(F.col("x"), F.col("y")) >= least)).select(*keys, "x", "y").distinct()
 
 
@@ -155,14 +160,14 @@ def merge_groups(items: DataFrame) -> DataFrame:
 
     def star(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
         lead = rows.groupBy(*keys).agg(F.min("id").alias("a"))
-        return lead, rows.join(lead, list(keys)).where("id <> a").select("a", F.col("id").alias("b"))
+        return lead, rows.join(_sorted(lead), list(keys)).where("id <> a").select("a", F.col("id").alias("b"))
 
     same = star(items.where("fingerprint is not null"), ["fingerprint"])[1]
     lines = items.withColumn("lines", F.sort_array(cover(F.col("ranges")))).where("symbol is not null and predicate is not null and size(lines) > 0").select("id", "symbol", "predicate", "lines")
     by = ["symbol", "predicate"]
     lead, alike = star(lines, [*by, "lines"])
     near = similar_sets(lead, by, "lines", 0.5)
-    near = near.join(lead.withColumnsRenamed({"lines": "x"}), [*by, "x"]).join(lead.withColumnsRenamed({"lines": "y", "a": "b"}), [*by, "y"]).select("a", "b")
+    near = near.join(_sorted(lead.withColumnsRenamed({"lines": "x"})), [*by, "x"]).join(_sorted(lead.withColumnsRenamed({"lines": "y", "a": "b"})), [*by, "y"]).select("a", "b")
 
     said = items.where("symbol is not null and start is not null and end is not null and tokens is not null").select("id", "symbol", F.sort_array(F.array_distinct("tokens")).alias("said"), "start", "end")
     anchors, equal = star(said, ["symbol", "said", "start", "end"])
@@ -170,14 +175,14 @@ def merge_groups(items: DataFrame) -> DataFrame:
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     anchors = anchors.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(w))
     islands = anchors.groupBy("symbol", "said", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("a").alias("a"))
-    chained = anchors.select("symbol", "said", "island", F.col("a").alias("b")).join(islands, ["symbol", "said", "island"]).where("a <> b").select("a", "b")
-    x, y = (islands.select("symbol", F.col("said").alias(k), F.struct("start", "end", "a").alias(f"i{k}")) for k in "xy")
+    chained = anchors.select("symbol", "said", "island", F.col("a").alias("b")).join(_sorted(islands), ["symbol", "said", "island"]).where("a <> b").select("a", "b")
+    x, y = (_sorted(islands.select("symbol", F.col("said").alias(k), F.struct("start", "end", "a").alias(f"i{k}"))) for k in "xy")
     claims = similar_sets(islands.select("symbol", "said").distinct(), ["symbol"], "said", 0.6).join(x, ["symbol", "x"]).join(y, ["symbol", "y"])
     claims = claims.where("ix.start <= iy.end and iy.start <= ix.end").select("ix.a", F.col("iy.a").alias("b"))
     links = same.unionByName(alike).unionByName(near).unionByName(equal).unionByName(chained).unionByName(claims)
-    member = components(links).join(items, F.col("node_key") == F.col("id"))
+    member = components(links).join(_sorted(items.select("id", "confidence", "severity", "evidence")), F.col("node_key") == F.col("id"))
     best = member.groupBy("component").agg(F.min(F.struct(-F.col("confidence"), -F.col("severity"), -F.col("evidence"), F.col("id").alias("p"))).alias("b"))
-    return member.join(best, "component").select(F.col("b.p").alias("primary"), F.col("id").alias("member"))
+    return member.join(_sorted(best), "component").select(F.col("b.p").alias("primary"), F.col("id").alias("member"))
 
 
 def evaluation(rows: DataFrame) -> DataFrame:
